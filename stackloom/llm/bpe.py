@@ -18,8 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens a task remembers before it starts anew.
-MEMO = 500_000
+from .common import map_arrow, portions
+
+#: Encoded pre-tokens in each of the two generations that a worker remembers.
+MEMO = 120_000
 
 
 class PerfectHash:
@@ -66,19 +68,37 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """Pre-token to ids, filled by the two tiers on a miss, bounded in size."""
+    """Pre-token to ids, filled by the two tiers on a miss.
+
+    Bounded by two generations: when the young one is full it becomes the old
+    one, and what is still in use moves up from there.
+    """
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.codec.encode_piece(piece.encode())
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.codec.encode_piece(piece.encode())
         if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
+    @classmethod
+    def of_process(cls, codec: Codec) -> Memo:
+        """The memo that this worker's tasks share, as long as they use the same vocabulary."""
+        global _memo
+        if _memo is None or _memo.codec is not codec:
+            _memo = cls(codec)
+        return _memo
+
+
+_memo: Memo | None = None
+
 
 class Codec:
     """Ranks and splitting pattern of one vocabulary."""
@@ -122,26 +142,30 @@ class Codec:
         return out
 
 
-def encode(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` and the token ids of the whole text as ``array<int>``.
 
     Each match of the pattern is encoded on its own, without special tokens. Null
-    and empty texts get an empty array; a column of that name is replaced.
+    and empty texts get an empty array; a column of that name is replaced. With
+    ``bytes_col`` the ids are decoded again, in the same pass, into that column.
     """
     known = docs.sparkSession.sparkContext.broadcast(codec)  # as large as the vocabulary, whatever the input
-    keep = [c for c in docs.columns if c != ids_col]
+    keep = [c for c in docs.columns if c not in (ids_col, bytes_col)]
     at = keep.index(text_col)
+    new = [ids_col, *([bytes_col] if bytes_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, split = Memo(known.value), regex.compile(known.value.pattern).findall
+        memo, split, token = Memo.of_process(known.value), regex.compile(known.value.pattern).findall, known.value.tokens.__getitem__
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in portions(whole, at):
                 ids = [list(chain.from_iterable(map(memo.__getitem__, split(t)))) if t else [] for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*keep, ids_col])
+                columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
+                if bytes_col:
+                    columns.append(pa.array([b"".join(map(token, x)) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *new])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
+    return docs.select(*[f"`{c}`" for c in keep]).transform(map_arrow, run, f"{schema}, `{ids_col}` array<int>" + (f", `{bytes_col}` binary" if bytes_col else ""))
 
 
 def decode(docs: DataFrame, codec: Codec, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -153,13 +177,13 @@ def decode(docs: DataFrame, codec: Codec, ids_col: str = "ids", bytes_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = known.value.tokens.__getitem__
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 100):
+                batch = whole.slice(start, 100)
                 out = [b"".join(map(token, ids)) if ids else b"" for ids in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*keep, bytes_col])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{schema}, `{bytes_col}` binary")
+    return docs.select(*[f"`{c}`" for c in keep]).transform(map_arrow, run, f"{schema}, `{bytes_col}` binary")
 
 
 def default_codec() -> Codec:
@@ -171,7 +195,7 @@ def default_codec() -> Codec:
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoding ``docs(doc_id, text)`` and decoding again."""
-    coded = decode(encode(docs, codec).drop("text"), codec)
+    coded = encode(docs, codec, bytes_col="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

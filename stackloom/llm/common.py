@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,30 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Bytes of rows that Spark hands to Python at once.
+ARROW_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches bounded by bytes: ten thousand whole texts at once can be any size.
+
+    The bound is a setting of the session, and stays set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have about ``most`` bytes together, a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().cumsum()
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values (two multiply-xorshift rounds)."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

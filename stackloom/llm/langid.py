@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, map_arrow, portions
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -160,8 +160,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for batch in portions(whole, at, 1 << 18):
                 p, letters = m.probabilities([t or "" for t in batch.column(at).to_pylist()])
                 sure = letters if m.labels else np.zeros(len(letters), dtype=bool)
                 best = p.argmax(axis=1) if m.labels else np.zeros(len(letters), dtype=int)
@@ -170,7 +169,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(sure & (score >= m.threshold))], [*keep, *new])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in keep]).dtypes)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{schema}, lang_pred string, score double, accepted boolean")
+    return docs.select(*[f"`{c}`" for c in keep]).transform(map_arrow, run, f"{schema}, lang_pred string, score double, accepted boolean")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

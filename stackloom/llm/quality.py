@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, utf8
+from .common import fold, map_arrow, stored, utf8
 
 FEATURES = ["log_bytes", "lower", "upper", "digit", "blank", "newline", "stop", "symbol", "high", "word_len", "long_words", "short_words", "distinct_words", "echo", "top_word", "distinct_lines", "line_len", "marked"]
 BINS, COARSE = 32, 8
@@ -56,7 +56,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x = pa.array([features(t) for t in utf8(batch.column(1))], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, "doc_id long, x array<float>")
 
 
 @dataclass
@@ -162,7 +162,7 @@ def score(feats: DataFrame, model: AdditiveModel) -> DataFrame:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.value.score(x) if batch.num_rows else [], pa.float64())], ["doc_id", "score"])
 
-    return feats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return feats.select("doc_id", "x").transform(map_arrow, run, "doc_id long, score double")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import map_arrow, portions, stored, utf8
 from .components import connected_components
 
 #: Rows of a bucket that one cell takes from each of two blocks.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = b"".join([fingerprint_bytes(t, shingle) for t in utf8(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -232,7 +232,7 @@ def links(groups: DataFrame, radius: int = 4) -> DataFrame:
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.expr("transform(sequence(0, blocks - 1), c -> least(c, block) * blocks + greatest(c, block))"))
     dealt = keyed.join(hot, "bucket", "left").withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "fp", "rep")
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_compare(radius), "src long, dst long")
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").transform(map_arrow, _compare(radius), "src long, dst long")
 
 
 def _similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -241,12 +241,11 @@ def _similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in portions(batch, 1):
                 sets = [shingle_set(t, shingle) for t in utf8(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "has"])
 
-    sets = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, has array<int>")
+    sets = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").transform(map_arrow, run, "doc_id long, has array<int>")
     sets = stored(sets.dropDuplicates(["doc_id"]), "shingle-sets")
     a = sets.select(F.col("doc_id").alias("src"), F.col("has").alias("one"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("has").alias("two"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, utf8
+from .common import map_arrow, mix64, portions, stored, utf8
 
 TEXT_KEY = ["t1", "t2"]
 #: Odd multipliers of the two rolling hashes.
@@ -89,8 +89,8 @@ def parse(starts: np.ndarray, sources: list) -> list[tuple[int, int, object]]:
 def _find_anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch, found = whole.slice(start, 500), []
+            for batch in portions(whole, 1):
+                found = []
                 for text in utf8(batch.column(1)):
                     at, h = anchors(word_hashes(text.split()), window, gram)
                     new = np.flatnonzero(np.diff(at, prepend=-1))
@@ -103,8 +103,7 @@ def _find_anchors(window: int, gram: int):
 def _find_windows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in portions(whole, 2):
                 place, one, two = [], [], []
                 for text, known in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     hashes = word_hashes(text.split())
@@ -125,14 +124,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``factors`` are ``(start, n_words, source_t1, source_t2, source_start)``.
     """
     keyed = _keyed(docs, id_col, text_col)
-    seen = stored(keyed.select("doc_id", "text", "t1", "t2").mapInArrow(_find_anchors(window, gram), "doc_id " + dict(keyed.dtypes)["doc_id"] + ", t1 long, t2 long, anchors array<long>"), "anchors")
+    seen = stored(keyed.select("doc_id", "text", "t1", "t2").transform(map_arrow, _find_anchors(window, gram), "doc_id " + dict(keyed.dtypes)["doc_id"] + ", t1 long, t2 long, anchors array<long>"), "anchors")
     folded = stored(seen.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("pick")), "texts")
     rep = seen.join(folded, [seen.t1 == folded.t1, seen.t2 == folded.t2, seen.doc_id.eqNullSafe(folded.pick)]).select(seen.t1, seen.t2, F.explode("anchors").alias("h"))
     twice = rep.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = rep.join(twice, "h").groupBy(*TEXT_KEY).agg(F.collect_set("h").alias("known"))
     hits = stored(hits.join(folded.select("t1", "t2", "pick"), TEXT_KEY), "anchor-hits")
     mine = keyed.join(hits.hint("shuffle_hash"), TEXT_KEY).where(F.col("doc_id").eqNullSafe(F.col("pick")))
-    found = mine.select("t1", "t2", "text", "known").mapInArrow(_find_windows(window, gram), "t1 long, t2 long, place array<int>, w1 array<long>, w2 array<int>")
+    found = mine.select("t1", "t2", "text", "known").transform(map_arrow, _find_windows(window, gram), "t1 long, t2 long, place array<int>, w1 array<long>, w2 array<int>")
     found = stored(found, "windows").select("t1", "t2", F.explode(F.arrays_zip("place", "w1", "w2")).alias("w")).select("t1", "t2", "w.place", "w.w1", "w.w2")
     index = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("source")).where("n > 1").drop("n")
     known = found.join(index, ["w1", "w2"]).groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("known"))
@@ -148,7 +147,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = [[dict(zip(("start", "n_words", "source_t1", "source_t2", "source_start"), f, strict=True)) for f in fs] for fs in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["t1", "t2", "factors"])
 
-    factors = known.select("t1", "t2", "known").mapInArrow(run, "t1 long, t2 long, factors array<struct<start:int,n_words:int,source_t1:long,source_t2:long,source_start:int>>")
+    factors = known.select("t1", "t2", "known").transform(map_arrow, run, "t1 long, t2 long, factors array<struct<start:int,n_words:int,source_t1:long,source_t2:long,source_start:int>>")
     return folded.where("copies > 1").select("t1", "t2", "copies").join(factors, TEXT_KEY, "full").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
@@ -167,8 +166,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in portions(whole, 1):
                 total, removed, kept = [], [], []
                 for text, copies, starts, sizes in zip(utf8(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                     words = text.split()
@@ -185,7 +183,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return joined.mapInArrow(run, "doc_id " + dict(joined.dtypes)["doc_id"] + ", n_words long, n_removed long, text string")
+    return joined.transform(map_arrow, run, "doc_id " + dict(joined.dtypes)["doc_id"] + ", n_words long, n_removed long, text string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

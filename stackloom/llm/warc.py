@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8
+from .common import map_arrow, portions, scratch, utf8
 
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +81,7 @@ def headers(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             texts = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(payload_digest, texts), pa.string())], ["page_id", "payload_bytes", "payload_digest"])
 
-    return pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string")
+    return pages.select(F.col(id_col).cast("long"), html_col).transform(map_arrow, run, "page_id long, payload_bytes long, payload_digest string")
 
 
 def resolve_revisits(heads: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
@@ -108,8 +108,7 @@ def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = 0, date
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in portions(whole, 2):
                 out = []
                 for rid, url, payload, move in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     digest = payload_digest(payload)
@@ -117,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = 0, date
                     out.append(record_bytes(rid, url, date, digest, payload if target is None else None, target))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = joined.select("page_id", "url", "html", "moved").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    records = joined.select("page_id", "url", "html", "moved").transform(map_arrow, run, "value binary").select(F.col("value").cast("string"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -144,7 +143,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return files.select("content").transform(map_arrow, run, schema)
 
 
 def resolved(records: DataFrame) -> DataFrame:
