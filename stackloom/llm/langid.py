@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, portions
+from .common import bounded_sample, fold, map_arrow, portions
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -140,8 +140,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_c
     Only this training sample is bounded, in rows and in characters of a row;
     scoring reads whole texts. Rows with null text or label are left out.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.substring(text_col, 1, sample_chars).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(order_col).alias("at"))
-    got = rows.orderBy("at", "lang", "text").limit(sample).collect()
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.substring(text_col, 1, sample_chars).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
+    got = bounded_sample(rows, "id", sample)
     return train([r.text for r in got], [r.lang for r in got])
 
 

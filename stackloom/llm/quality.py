@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, stored, utf8
+from .common import bounded_sample, fold, map_arrow, stored, utf8
 
 FEATURES = ["log_bytes", "lower", "upper", "digit", "blank", "newline", "stop", "symbol", "high", "word_len", "long_words", "short_words", "distinct_words", "echo", "top_word", "distinct_lines", "line_len", "marked"]
 BINS, COARSE = 32, 8
@@ -148,9 +148,9 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
 
 def fit(rows: DataFrame, label_col: str = "quality", order_col: str = "doc_id", sample: int = 20_000) -> AdditiveModel:
     """Train on at most ``sample`` rows of ``(x, label)``, chosen by a hash of ``order_col``; null labels are left out."""
-    rows = rows.where(F.col(label_col).isNotNull()).select("x", F.col(label_col).cast("double").alias("y"), F.xxhash64(order_col).alias("at"))
-    got = rows.orderBy("at", "y").limit(sample).toPandas()
-    return train(np.array(got.x.tolist(), dtype=np.float32), got.y.to_numpy(dtype=np.float64))
+    rows = rows.where(F.col(label_col).isNotNull()).select("x", F.col(label_col).cast("double").alias("y"), F.col(order_col).alias("id"))
+    got = bounded_sample(rows, "id", sample)
+    return train(np.array([r.x for r in got], dtype=np.float32), np.array([r.y for r in got], dtype=np.float64))
 
 
 def score(feats: DataFrame, model: AdditiveModel) -> DataFrame:
