@@ -25,45 +25,45 @@ MEMO = 120_000
 
 
 class PerfectHash:
-    """Distinct byte strings to 0..n-1 without gaps; strings outside the set map to None."""
+    """Distinct byte strings to 0..n-1 without gaps; strings outside the set map to None.
+
+    Keys fall into buckets by one hash; each bucket, the largest first, gets the
+    first seed under which its keys hash to free slots. Buckets of one key name
+    a free slot directly.
+    """
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
         self.n, self.buckets = n, n // 4 + 1
-        groups: list[list[int]] = [[] for _ in range(self.buckets)]
-        hashes = [xxhash.xxh64_intdigest(k) for k in keys]
-        for i, x in enumerate(hashes):
-            groups[x % self.buckets].append(i)
-        self.shift = [0] * self.buckets
+        groups: list[list[bytes]] = [[] for _ in range(self.buckets)]
+        for k in keys:
+            groups[xxhash.xxh64_intdigest(k) % self.buckets].append(k)
+        self.seed = [0] * self.buckets
         self.slots: list[bytes | None] = [None] * n
         free = n - 1
         for bucket in sorted(range(self.buckets), key=lambda b: -len(groups[b])):
             own = groups[bucket]
-            if len(own) == 1:  # any free slot will do: the displacement names it
+            if len(own) == 1:
                 while self.slots[free] is not None:
                     free -= 1
-                self.shift[bucket] = -1 - free
-                self.slots[free] = keys[own[0]]
+                self.seed[bucket] = -1 - free
+                self.slots[free] = own[0]
                 continue
-            d = 0
+            seed = 0
             while own:
-                at = {self._slot(hashes[i], d) for i in own}
-                if len(at) == len(own) and all(self.slots[s] is None for s in at):
-                    for i in own:
-                        self.slots[self._slot(hashes[i], d)] = keys[i]
-                    self.shift[bucket] = d
+                seed += 1
+                at = [xxhash.xxh64_intdigest(k, seed) % n for k in own]
+                if len(set(at)) == len(own) and all(self.slots[s] is None for s in at):
+                    for k, s in zip(own, at, strict=True):
+                        self.slots[s] = k
+                    self.seed[bucket] = seed
                     break
-                d += 1
-
-    def _slot(self, x: int, d: int) -> int:
-        return ((x >> 16) + d * ((x >> 40) | 1) + d * d) % self.n
 
     def find(self, key: bytes) -> int | None:
         if not self.n:
             return None
-        x = xxhash.xxh64_intdigest(key)
-        d = self.shift[x % self.buckets]
-        slot = -1 - d if d < 0 else self._slot(x, d)
+        seed = self.seed[xxhash.xxh64_intdigest(key) % self.buckets]
+        slot = -1 - seed if seed < 0 else xxhash.xxh64_intdigest(key, seed) % self.n
         return slot if self.slots[slot] == key else None
 
 

@@ -88,7 +88,7 @@ class LanguageModel:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    e = np.exp(x - x.max(axis=-1, keepdims=True, initial=-np.inf))
     return e / e.sum(axis=-1, keepdims=True)
 
 
