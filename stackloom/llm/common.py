@@ -60,16 +60,19 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> list:
+def bounded_sample(rows: DataFrame, key: str, most: int, then=None) -> list:
     """At most ``most`` rows, chosen by a hash of ``key``, as a list: all of them if there are no more.
 
+    ``then``, a function of DataFrames that keeps ``_draw``, is applied to the drawn rows before they are gathered.
+
     Tasks pass on only rows under a hash threshold set from the count, half as
     many again as needed are expected, so what reaches the driver does not grow
     with the table or its partitions.
     """
     share = min(1.0, 1.5 * most / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 31))
-    got = rows.withColumn("_draw", draw).where(F.col("_draw") < int(share * (1 << 31))).collect()
+    drawn = rows.withColumn("_draw", draw).where(F.col("_draw") < int(share * (1 << 31)))
+    got = (then(drawn) if then else drawn).collect()
     return sorted(got, key=lambda r: (r["_draw"], str(r)))[:most]
 
 

@@ -92,8 +92,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> LanguageModel:
-    """Fit on the given rows; every fifth row is held back for calibration (if there are ten at least).
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of one whole text's grams, and how often each occurs."""
+    return np.unique(grams([text])[0], return_counts=True)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 8, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> LanguageModel:
+    """Fit on the given rows' ``gram_counts``; every fifth row is held back for calibration (if there are ten at least).
 
     The temperature minimises their log loss; the threshold is the score that a
     share ``keep`` of them reaches, but no more than 0.5.
@@ -103,7 +108,6 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.5
         return LanguageModel([], np.zeros((BUCKETS, 0)))
     y = np.array([labels.index(x) for x in langs])
     rng = np.random.default_rng(seed)
-    rows = [np.unique(grams([t])[0], return_counts=True) for t in texts]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out = rng.normal(0, 0.1, (DIM, len(labels)))
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 else np.zeros(len(rows), dtype=bool)
@@ -134,15 +138,29 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 0.5
     return model
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample: int = 2000, sample_chars: int = 20_000) -> LanguageModel:
-    """Train on at most ``sample`` labelled rows, chosen by a hash of ``order_col``.
+def _packed(drawn: DataFrame) -> DataFrame:
+    """Drawn rows with their texts' gram counts, packed, in place of the texts: ``BUCKETS`` entries at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole, 0):
+                found = [gram_counts(t) for t in batch.column(0).to_pylist()]
+                packed = [pa.array([x[k].astype(np.int32).tobytes() for x in found], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], ["lang", "_draw", "buckets", "counts"])
+
+    return map_arrow(drawn.select("text", "lang", "_draw"), run, "lang string, _draw long, buckets binary, counts binary")
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample: int = 2000) -> LanguageModel:
+    """Train on at most ``sample`` labelled rows, chosen by a hash of ``order_col``, each with its whole text.
 
-    Only this training sample is bounded, in rows and in characters of a row;
-    scoring reads whole texts. Rows with null text or label are left out.
+    Only this training sample is bounded. What reaches the driver of a row are
+    its gram counts, whatever the text's length. Rows with null text or label
+    are left out.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.substring(text_col, 1, sample_chars).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
-    got = bounded_sample(rows, "id", sample)
-    return train([r.text for r in got], [r.lang for r in got])
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
+    got = bounded_sample(rows, "id", sample, _packed)
+    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in got], [r.lang for r in got])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

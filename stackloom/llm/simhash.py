@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, portions, stored, utf8
+from .common import map_arrow, mix64, portions, stored, utf8
 from .components import connected_components
 
 #: Rows of a bucket that one cell takes from each of two blocks.
@@ -42,13 +42,18 @@ BUFFER = 1 << 17
 ITEMS = 1 << 17
 #: Shingles whose bits are unpacked at once.
 SLICE = 1 << 15
+#: Added to a hash before it is scrambled for the next table (0 would stay 0).
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint_bytes(text: bytes, shingle: int = 4) -> bytes:
-    """Eight big-endian bytes: the SimHash of one text's word shingles."""
+def fingerprint_bytes(text: bytes, shingle: int = 4, tables: int = 1) -> bytes:
+    """Eight big-endian bytes for each table: the SimHashes of one text's word shingles.
+
+    The first is of the hashes as they are, each further one of the hashes scrambled once more.
+    """
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return bytes(8)
+        return bytes(8 * tables)
     joined = b" ".join(words)
     if len(words) <= shingle:
         digests = xxhash.xxh64_digest(joined, 42)
@@ -56,22 +61,29 @@ def fingerprint_bytes(text: bytes, shingle: int = 4) -> bytes:
         ends = list(accumulate((len(w) + 1 for w in words)))
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
-    rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(rows), SLICE):
-        counts += np.unpackbits(rows[at : at + SLICE], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(rows)).tobytes()
+    counts = np.zeros((tables, 64), dtype=np.int64)
+    n = len(digests) // 8
+    for at in range(0, n, SLICE):
+        hashes = np.frombuffer(digests, dtype=">u8", count=min(SLICE, n - at), offset=8 * at)
+        for k in range(tables):
+            counts[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            if k + 1 < tables:
+                hashes = mix64(hashes.astype(np.uint64) + SALT).astype(">u8")
+    return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long. Null or blank texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tables: int = 1) -> DataFrame:
+    """``(doc_id, fp, fp1, …)``: the fingerprint of each table as a signed long. Null or blank texts get 0."""
+    names = ["fp", *[f"fp{k}" for k in range(1, tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join([fingerprint_bytes(t, shingle) for t in utf8(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
+            found = b"".join([fingerprint_bytes(t, shingle, tables) for t in utf8(batch.column(1))])
+            fps = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, tables)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(tables)]], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, "doc_id long, fp long")
+    schema = ", ".join(f"{n} long" for n in ["doc_id", *names])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, schema)
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -263,28 +275,41 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter(runs, dtype=np.uint32, count=len(runs)).view(np.int32)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, min_similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, min_similarity: float | None = None, tables: int = 1) -> DataFrame:
     """One row per document: ``(doc_id, fp, fingerprint, component_id)``.
 
     ``fingerprint`` is 16 lower-case hex digits, ``component_id`` the least id of
     the documents reachable over links of at most ``radius`` differing bits, and,
     with ``min_similarity``, of at least that Jaccard similarity; texts of equal
     fingerprint then stay together if they are similar to the least of them.
+    ``tables`` independent fingerprints may propose links for verification, so
+    that a pair which one of them holds too far apart is found by another; more
+    than one needs ``min_similarity``.
     Null, empty and blank texts have fingerprint zero and link like others;
     repeated rows stay as many rows; rows with a null id have a null component;
     other columns are ignored; an empty table gives an empty result.
     """
+    if tables > 1 and min_similarity is None:
+        raise ValueError("several tables need a similarity to verify")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = stored(fingerprints(texts, shingle=shingle), "fingerprints")
-    groups = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("ids")), "fp-groups")
-    edges = links(groups, radius)
-    same = fps.join(groups.where("ids > 1"), "fp").where("doc_id > rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    fps = stored(fingerprints(texts, shingle=shingle, tables=tables), "fingerprints")
+    known = fps.where("doc_id is not null")
+
+    def grouped(fp: str) -> DataFrame:
+        return stored(known.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("ids")), "fp-groups")
+
     if min_similarity is not None:
-        edges = _similar(stored(edges.unionByName(same).distinct(), "near"), texts, shingle, min_similarity)
-        found = connected_components(edges)
+        near = None
+        for fp in fps.columns[1:]:
+            groups = grouped(fp)
+            same = known.select("doc_id", F.col(fp).alias("fp")).join(groups.where("ids > 1"), "fp").where("doc_id > rep")
+            found = stored(links(groups, radius).unionByName(same.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))), "near")
+            near = found if near is None else near.unionByName(found)
+        found = connected_components(_similar(stored(near.distinct(), "near"), texts, shingle, min_similarity))
         named = fps.join(found, fps.doc_id == found.node, "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
     else:
-        found = connected_components(edges)
+        groups = grouped("fp")
+        found = connected_components(links(groups, radius))
         named = groups.join(found, groups.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
         named = fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return named.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -75,10 +75,29 @@ def test_near_copies_are_verified(spark, texts):
     found = simhash.near_duplicates(docs(spark, texts), shingle=5, radius=12, min_similarity=0.8)
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert got[9] == 4 and got[10] == got[11] == 1 and got[16] == 5 and got[0] == 0
+    found = simhash.near_duplicates(docs(spark, texts), shingle=5, radius=12, min_similarity=0.8, tables=3)
+    assert {r.doc_id: r.component_id for r in found.collect()} == got
     twice = docs(spark, ["a b c d e f", "a b c d e f", "x y"], [7, 7, 8])
     assert sorted(r.doc_id for r in simhash.keep_one(twice, simhash.near_duplicates(twice)).collect()) == [7, 8]
 
 
+def test_further_tables_find_what_one_misses():
+    rng = np.random.default_rng(8)
+    far = [[], []]
+    for _ in range(200):
+        a = [b"w%d" % k for k in rng.integers(0, 5000, 300)]
+        b = list(a)
+        for at in rng.choice(300, 6, replace=False):
+            b[at] = b"changed"
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (a, b)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            x, y = (np.frombuffer(simhash.fingerprint_bytes(b" ".join(w), 5, 2), ">u8").astype(np.uint64) for w in (a, b))
+            apart = np.bitwise_count(x ^ y)
+            far[0].append(apart[0] <= 12)
+            far[1].append(apart.min() <= 12)
+    assert len(far[0]) > 100 and np.mean(far[1]) > np.mean(far[0]) and np.mean(far[1]) > 0.93
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 8), (9, 8), (2, 1), (20, 9)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -168,7 +187,7 @@ def test_language_query(spark):
 
 
 def test_language_of_odd_texts(spark):
-    model = langid.train(["the cat and the dog"] * 6 + ["el perro y la gata"] * 6, ["en"] * 6 + ["es"] * 6)
+    model = langid.train([langid.gram_counts(t) for t in ["the cat and the dog"] * 6 + ["el perro y la gata"] * 6], ["en"] * 6 + ["es"] * 6)
     got = langid.predict(docs(spark, ["the dog", None, "", "12 !?", "la gata"]), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["en", "und", "und", "und", "es"]
     assert [r.score for r in got][1:4] == [0, 0, 0] and not got[1].accepted
@@ -243,7 +262,7 @@ def test_bpe_is_tiktoken(spark, texts):
 def test_empty_tables(spark, tmp_path):
     none = docs(spark, [])
     codec = bpe.Codec({bytes([i]): i for i in range(256)}, r"\w+|\W+")
-    model = langid.train(["a"], ["en"])
+    model = langid.train([langid.gram_counts("a")], ["en"])
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     for out in (
