@@ -104,10 +104,13 @@ def diff(left: DataFrame, right: DataFrame, max_nodes: int | None = None) -> Dat
 
 
 def subtract(newer: DataFrame, older: DataFrame) -> DataFrame:
-    """Newer minus older per node; nodes where nothing is left go, smaller ones count as 0."""
+    """Newer minus older per node; a node whose total has not grown goes, and all below it."""
     both = diff(older, newer)
-    pick = lambda c: F.greatest(F.col(f"{c}_right") - F.col(f"{c}_left"), F.lit(0)).alias(c)
-    return both.select("path", "name", "depth", pick("self"), pick("total")).where("total > 0")
+    left = lambda c: F.greatest(F.col(f"{c}_right") - F.col(f"{c}_left"), F.lit(0)).alias(c)
+    grown = both.where("total_right > total_left").select("path", "name", "depth", left("self"), left("total"))
+    above = grown.select("path", "depth", F.explode(prefixes(F.col("path"))).alias("up"))
+    whole = above.join(grown.select(F.col("path").alias("up")), "up").groupBy("path", "depth").agg(F.count("*").alias("n")).where("n = depth")
+    return grown.join(whole.select("path"), "path", "left_semi").select("path", "name", "depth", "self", "total")
 
 
 def scale(nodes: DataFrame, multiplier: int, divisor: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.selector import select
-from ..operators import maintain, series, tree
+from ..operators import maintain, profiles, series, tree
 from ..sources.tables import EVENTS_SQL, ORDERS_SQL, event_profiles, order_samples
 
 #: A range of 30 days less an hour: not a multiple of the step.
@@ -249,6 +249,90 @@ def symbolize(spark, d):
     return tree.resolve_addresses(asked, known)
 
 
+@_query(f"""{ORDERS_SQL}, d AS (SELECT array_to_string(frames[1:i], ';') AS path, i AS depth, sum(CASE WHEN status = 'O' THEN value ELSE -value END) AS total, sum(CASE WHEN i < len(frames) THEN 0 WHEN status = 'O' THEN value ELSE -value END) AS self
+    FROM (SELECT *, unnest(range(1, len(frames) + 1)) AS i FROM s WHERE value > 0 AND status IN ('F', 'O')) GROUP BY ALL),
+  g AS (SELECT * FROM d WHERE total > 0), u AS (SELECT path, depth, unnest(list_transform(range(1, depth + 1), lambda k: array_to_string(string_split(path, ';')[1:k], ';'))) AS up FROM g),
+  w AS (SELECT u.path FROM u JOIN g ON u.up = g.path GROUP BY u.path, u.depth HAVING count(*) = u.depth)
+  SELECT path, CAST(depth AS INTEGER) AS depth, CAST(greatest(self, 0) AS BIGINT) AS self, CAST(total AS BIGINT) AS total FROM g WHERE path IN (SELECT path FROM w)""")
+def tree_subtract(spark, d):
+    s = order_samples(spark, d)
+    return _flat(tree.subtract(tree.tree(s.where("status = 'O'")), tree.tree(s.where("status = 'F'"))))
+
+
+@_query(f"""{ORDERS_SQL}, {TREE_SQL.format(src='s')} SELECT path, depth, CAST(floor(self * 3 / 2.0) AS BIGINT) AS self, CAST(floor(total * 3 / 2.0) AS BIGINT) AS total FROM t""")
+def tree_scaled(spark, d):
+    return _flat(tree.scale(tree.tree(order_samples(spark, d)), 3, 2))
+
+
+TYPE_SQL = """y AS (SELECT DISTINCT 'process_cpu:' || service_name || CASE WHEN user = '1' THEN ':count' WHEN user = '2' THEN ':count:cpu:ns:delta' ELSE ':count:cpu:ns' END AS id FROM p)"""
+
+
+@_query(f"""{EVENTS_SQL}, {TYPE_SQL}, z AS (SELECT id, string_split(id, ':') AS f FROM y) SELECT id, f[1] AS name, f[2] AS sample_type, f[3] AS sample_unit, f[4] AS period_type, f[5] AS period_unit FROM z WHERE len(f) >= 5""")
+def profile_types(spark, d):
+    tail = F.when(F.col("user") == "1", ":count").when(F.col("user") == "2", ":count:cpu:ns:delta").otherwise(":count:cpu:ns")
+    return profiles.profile_types(event_profiles(spark, d).select(F.concat(F.lit("process_cpu:"), "service_name", tail).alias("profile_type")))
+
+
+@_query(f"""{ORDERS_SQL} SELECT CASE WHEN value - 10 < 0 THEN 'negative_value' ELSE 'ok' END AS reason, count(*) AS n FROM s GROUP BY 1""")
+def check_samples(spark, d):
+    good, bad = profiles.check(order_samples(spark, d).withColumn("value", F.col("value") - 10))
+    return good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{EVENTS_SQL}, h AS (SELECT *, right(md5(coalesce(span, '')), 1) || '000000000000000' AS sp FROM p) SELECT service_name, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM h WHERE sp IN ('a000000000000000', '5000000000000000') GROUP BY 1""")
+def span_selector(spark, d):
+    span = F.concat(F.right(F.md5(F.coalesce("span", F.lit(""))), F.lit(1)), F.lit("0" * 15))
+    rows = profiles.in_spans(event_profiles(spark, d).withColumn("span", span), ["A" + "0" * 15, "5" + "0" * 15, "0" * 16])
+    return rows.groupBy("service_name").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
+@_query(f"""{ORDERS_SQL} SELECT profile_id, ts_ms, CAST(sum(value) AS BIGINT) AS total, 'true' AS sampled FROM s WHERE value > 0 GROUP BY ALL""")
+def totals_only(spark, d):
+    return profiles.totals_only(order_samples(spark, d), ["profile_id", "ts_ms"])
+
+
+@_query(f"""{ORDERS_SQL} SELECT ts_ms // {30 * DAY} * {30 * DAY} AS ts, CAST(sum(CASE WHEN frames[1:2] = ['ASIA', 'CHINA'] THEN value ELSE 0 END) AS BIGINT) AS value FROM s GROUP BY 1""")
+def series_call_site(spark, d):
+    rows = profiles.call_site_totals(order_samples(spark, d), ["profile_id", "ts_ms"], ["ASIA", "CHINA"])
+    return rows.groupBy((F.floor(F.col("ts_ms") / (30 * DAY)) * 30 * DAY).cast("bigint").alias("ts")).agg(F.sum("total").alias("value"))
+
+
+@_query(f"""{EVENTS_SQL}, {BUCKET_SQL} SELECT service_name, ts, CAST(sum(total) AS BIGINT) AS value, array_to_string(list_sort(list_distinct(list("user"))), ',') AS annotations FROM b GROUP BY ALL""")
+def series_annotations(spark, d):
+    parts = series.series(event_profiles(spark, d), ["service_name", "user"], START, END, STEP).withColumn("annotations", F.array("user"))
+    return profiles.merge_points(parts, ["service_name"]).withColumn("annotations", F.array_join("annotations", ","))
+
+
+@_query(f"""{EVENTS_SQL} SELECT "user" AS label_value, CAST(sum(total) AS BIGINT) AS value FROM p WHERE ts_ms > {START} AND ts_ms <= {END} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+def top_label_values(spark, d):
+    return profiles.top_label_values(event_profiles(spark, d), "user", START, END, 5)
+
+
+@_query(f"""{EVENTS_SQL} SELECT count(DISTINCT (service_name, "user")) AS n_series, count(*) AS n_profiles, count(DISTINCT ts_ms // {DAY}) AS n_days FROM p WHERE ts_ms BETWEEN {START} AND {END}""")
+def query_scope(spark, d):
+    return profiles.query_scope(event_profiles(spark, d), START, END, ["service_name", "user"])
+
+
+@_query(f"""{EVENTS_SQL}, m AS ({{heat}}), k AS (SELECT service_name FROM m GROUP BY 1 ORDER BY sum(count) DESC, 1 LIMIT 2) SELECT * FROM m WHERE service_name IN (SELECT service_name FROM k)""".replace("{heat}", f"WITH {_HEAT_SQL.format(src='p')}"))
+def heatmap_top(spark, d):
+    return profiles.top_heatmap(series.heatmap(event_profiles(spark, d), ["service_name"], START, END, STEP), ["service_name"], 2)
+
+
+@_query(f"""{ORDERS_SQL}, a AS (SELECT sum(value) AS v FROM s), n AS (SELECT name, sum(value) AS cum FROM (SELECT value, unnest(list_distinct(frames)) AS name FROM s) GROUP BY 1), k AS (SELECT name FROM n, a WHERE cum >= 0.005 * v ORDER BY cum DESC, name LIMIT 20),
+  e AS (SELECT frames[i] AS caller, frames[i+1] AS callee, sum(value) AS weight FROM (SELECT *, unnest(range(1, len(frames))) AS i FROM s) GROUP BY ALL)
+  SELECT caller, callee, CAST(weight AS BIGINT) AS weight FROM e, a WHERE weight >= 0.001 * v AND caller <> callee AND caller IN (SELECT name FROM k) AND callee IN (SELECT name FROM k)""")
+def call_graph_trimmed(spark, d):
+    s = order_samples(spark, d)
+    nodes, edges = tree.call_graph(s)
+    return profiles.trim_call_graph(nodes, edges, tree.sum_stacks(s).agg(F.sum("value").alias("value")), 20)[1]
+
+
+@_query(f"""{EVENTS_SQL}, lim AS (SELECT {START} + 15 * {DAY} AS now) SELECT CASE WHEN ts_ms <= now - {DAY} THEN 'too_far_behind' WHEN ts_ms >= now + {DAY} THEN 'too_far_ahead' ELSE 'ok' END AS reason, count(*) AS n FROM p, lim GROUP BY 1""")
+def ingestion_window(spark, d):
+    good, bad = maintain.ingestion_window(event_profiles(spark, d), START + 15 * DAY, DAY, DAY)
+    return good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
