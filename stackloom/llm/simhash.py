@@ -15,15 +15,22 @@ XXH64 hashes. Fingerprints within the radius are found in three steps:
   words in which every lane has passed the radius are abandoned.
 
 A cell returns a spanning forest of its links, nearest pairs first, not all
-pairs; components are then taken over the forests of all cells. Where a
-similarity is asked for as well, each forest edge is first verified by the exact
-Jaccard similarity of the two texts' shingle sets.
+pairs; components are then taken over the forests of all cells.
+
+Where a similarity is asked for as well, texts of one shingle set are folded
+first, and a link only counts once verified by the exact Jaccard similarity of
+the two shingle sets. Fingerprints are then a quick proposal, not a bound: what
+they or the forests leave apart is completed by prefixes. In the order of their
+hashes, two sets of similarity ``t`` share a shingle among the first
+``n - ceil(t n) + 1`` of each; where texts of different components meet at such
+a shingle, every pair that can be similar is verified. So no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +53,27 @@ SLICE = 1 << 15
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _digests(text: bytes, shingle: int) -> bytes:
+    """The XXH64 digests of a text's word shingles, one after another (of all its words if they are fewer)."""
+    words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
+    if not words:
+        return b""
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return xxhash.xxh64_digest(joined, 42)
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
+
+
 def fingerprint_bytes(text: bytes, shingle: int = 4, tables: int = 1) -> bytes:
     """Eight big-endian bytes for each table: the SimHashes of one text's word shingles.
 
     The first is of the hashes as they are, each further one of the hashes scrambled once more.
     """
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
+    digests = _digests(text, shingle)
+    if not digests:
         return bytes(8 * tables)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        digests = xxhash.xxh64_digest(joined, 42)
-    else:
-        ends = list(accumulate((len(w) + 1 for w in words)))
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
     counts = np.zeros((tables, 64), dtype=np.int64)
     n = len(digests) // 8
     for at in range(0, n, SLICE):
@@ -275,16 +288,63 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter(runs, dtype=np.uint32, count=len(runs)).view(np.int32)
 
 
+def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``(doc_id, k1, k2, size, prefix)``: a 128-bit hash of each text's shingle set, its size, and its first shingles' hashes in order.
+
+    Two sets of similarity ``least`` or more have the first hash that they share in both prefixes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 1):
+                sets = [np.unique(np.frombuffer(_digests(t, shingle), dtype=">i8").astype(np.int64)) for t in utf8(part.column(1))]
+                keys = np.frombuffer(b"".join([xxhash.xxh128_digest(x.tobytes()) for x in sets]), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                first = [x[: len(x) - ceil(least * len(x) - 1e-9) + 1] for x in sets]
+                columns = [part.column(0), *[pa.array(keys[:, k].copy()) for k in (0, 1)], pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "size", "prefix"])
+
+    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, k1 long, k2 long, size int, prefix array<long>")
+
+
+def _completed(found: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``found(node, component)`` and further verified links as edges, that connect every pair of ``sets(rep, size, prefix)`` that is similar.
+
+    Where components meet at a shingle of the prefixes, first each text is held
+    against one of another component, then all pairs of texts that are still apart.
+    """
+    edges = stored(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "verified")
+    placed = sets.join(found, sets.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"), "size", "prefix")
+    mixed = placed.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    met = placed.select("rep", "component", "size", F.posexplode("prefix").alias("pos", "token")).join(mixed, "token", "left_semi")
+    met = stored(met.select("token", "rep", "component", "size", (F.col("size") - F.col("pos")).alias("rest")), "met")
+    can = F.least("rest", "rest2") * F.lit(1 + least) >= F.lit(least) * (F.col("size") + F.col("size2")) - F.lit(1e-6)
+
+    low = met.groupBy("token").agg(F.min(F.struct("component", "rep", "size", "rest")).alias("low"))
+    star = met.join(low, "token").select("rep", "component", "size", "rest", F.col("low.rep").alias("rep2"), F.col("low.component").alias("component2"), F.col("low.size").alias("size2"), F.col("low.rest").alias("rest2"))
+    pairs = stored(star.where((F.col("component") != F.col("component2")) & can).select(F.greatest("rep", "rep2").alias("src"), F.least("rep", "rep2").alias("dst")).distinct(), "star")
+    more = stored(_similar(pairs, docs, shingle, least), "verified")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        now = stored(connected_components(edges), "components")
+        met = met.join(now, met.rep == now.node, "left").select("token", "rep", F.coalesce(now.component, "rep").alias("component"), "size", "rest")
+        mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        met = stored(met.join(mixed, "token", "left_semi"), "met")
+
+    other = met.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "size", "rest")])
+    apart = met.join(other, "token").where((F.col("rep") > F.col("rep2")) & (F.col("component") != F.col("component2")) & can)
+    pairs = stored(apart.select(F.col("rep").alias("src"), F.col("rep2").alias("dst")).distinct(), "apart")
+    return edges.unionByName(stored(_similar(pairs, docs, shingle, least), "verified"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, min_similarity: float | None = None, tables: int = 1) -> DataFrame:
     """One row per document: ``(doc_id, fp, fingerprint, component_id)``.
 
     ``fingerprint`` is 16 lower-case hex digits, ``component_id`` the least id of
-    the documents reachable over links of at most ``radius`` differing bits, and,
-    with ``min_similarity``, of at least that Jaccard similarity; texts of equal
-    fingerprint then stay together if they are similar to the least of them.
-    ``tables`` independent fingerprints may propose links for verification, so
-    that a pair which one of them holds too far apart is found by another; more
-    than one needs ``min_similarity``.
+    the documents reachable over links of at most ``radius`` differing bits or,
+    with ``min_similarity``, over links of at least that Jaccard similarity of
+    the shingle sets, whatever their fingerprints. ``radius`` and ``tables``, the
+    number of independent fingerprints, then only say which links are proposed
+    first, and change no result; more tables than one need ``min_similarity``.
     Null, empty and blank texts have fingerprint zero and link like others;
     repeated rows stay as many rows; rows with a null id have a null component;
     other columns are ignored; an empty table gives an empty result.
@@ -295,20 +355,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stored(fingerprints(texts, shingle=shingle, tables=tables), "fingerprints")
     known = fps.where("doc_id is not null")
 
-    def grouped(fp: str) -> DataFrame:
+    def grouped(known: DataFrame, fp: str) -> DataFrame:
         return stored(known.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("ids")), "fp-groups")
 
     if min_similarity is not None:
+        sets = stored(_prefixes(texts.where("doc_id is not null"), shingle, min_similarity), "prefixes")
+        alike = [F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("size").alias("size"), F.first("prefix").alias("prefix")]
+        folded = stored(sets.groupBy("k1", "k2").agg(*alike), "sets")
+        copies = sets.select("doc_id", "k1", "k2").join(folded.where("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id > rep")
+        one = stored(known.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "fingerprints")
         near = None
         for fp in fps.columns[1:]:
-            groups = grouped(fp)
-            same = known.select("doc_id", F.col(fp).alias("fp")).join(groups.where("ids > 1"), "fp").where("doc_id > rep")
+            groups = grouped(one, fp)
+            same = one.select("doc_id", F.col(fp).alias("fp")).join(groups.where("ids > 1"), "fp").where("doc_id > rep")
             found = stored(links(groups, radius).unionByName(same.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))), "near")
             near = found if near is None else near.unionByName(found)
-        found = connected_components(_similar(stored(near.distinct(), "near"), texts, shingle, min_similarity))
+        found = stored(connected_components(_similar(stored(near.distinct(), "near"), texts, shingle, min_similarity)), "components")
+        edges = _completed(found, folded.select("rep", "size", "prefix"), texts, shingle, min_similarity)
+        found = connected_components(edges.unionByName(copies.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
         named = fps.join(found, fps.doc_id == found.node, "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
     else:
-        groups = grouped("fp")
+        groups = grouped(known, "fp")
         found = connected_components(links(groups, radius))
         named = groups.join(found, groups.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
         named = fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

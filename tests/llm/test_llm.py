@@ -81,6 +81,37 @@ def test_near_copies_are_verified(spark, texts):
     assert sorted(r.doc_id for r in simhash.keep_one(twice, simhash.near_duplicates(twice)).collect()) == [7, 8]
 
 
+def similar_groups(texts, least=0.8, shingle=5):
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (t.split() for t in texts)]
+    comp = list(range(len(texts)))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                x, y = root(a), root(b)
+                comp[max(x, y)] = min(x, y)
+    return [root(x) for x in range(len(texts))]
+
+
+def test_texts_of_one_fingerprint_are_all_compared(spark):
+    rng = np.random.default_rng(11)
+    made = []
+    for k in range(12):
+        own = [f"own{k}x{j}" for j in range(60)]
+        edit = list(own)
+        edit[int(rng.integers(60))] = "edited"
+        made += [" ".join(["the same old phrase again"] * 60 + w) for w in (own, own, edit)]
+    found = simhash.near_duplicates(docs(spark, made), shingle=5, radius=12, min_similarity=0.8, tables=2).collect()
+    assert len({r.fp for r in found}) < 12  # the phrase decides the fingerprints
+    want = similar_groups(made)
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want)) and len(set(want)) == 12
+
+
 def test_further_tables_find_what_one_misses():
     rng = np.random.default_rng(8)
     far = [[], []]
