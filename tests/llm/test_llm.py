@@ -112,6 +112,20 @@ def test_texts_of_one_fingerprint_are_all_compared(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want)) and len(set(want)) == 12
 
 
+def test_every_pair_at_the_least_similarity_is_found(spark):
+    rng = np.random.default_rng(11)
+    made = []
+    for k in range(20):
+        base = [f"f{k}w{j}" for j in rng.integers(0, 400, 150)]
+        for _ in range(30):
+            words = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+                words[at] = f"e{rng.integers(10**6)}"
+            made.append(" ".join(words))
+    found = simhash.near_duplicates(docs(spark, made), shingle=5, radius=12, min_similarity=0.8, tables=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(similar_groups(made)))
+
+
 def test_further_tables_find_what_one_misses():
     rng = np.random.default_rng(8)
     far = [[], []]
