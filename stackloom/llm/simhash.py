@@ -157,7 +157,7 @@ def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.n
     kept = [np.zeros((2, 0), dtype=np.int64)]
     rows = np.flatnonzero(np.arange(1, n + 1) < last)
     spans = ((last[rows] - 1) >> 6) - ((rows + 1) >> 6) + 1
-    cuts = np.searchsorted(np.cumsum(spans), np.arange(0, spans.sum() + ITEMS, ITEMS)) if len(rows) else []
+    cuts = np.append(np.searchsorted(np.cumsum(spans), np.arange(0, spans.sum(), ITEMS)), len(rows)) if len(rows) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a == b:
             continue

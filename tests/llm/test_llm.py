@@ -81,6 +81,12 @@ def test_near_copies_are_verified(spark, texts):
     assert sorted(r.doc_id for r in simhash.keep_one(twice, simhash.near_duplicates(twice)).collect()) == [7, 8]
 
 
+def test_the_last_row_is_compared(monkeypatch):
+    fps = np.array([1 << 5, 1 << 40, (1 << 40) + 1], dtype=np.uint64)
+    monkeypatch.setattr(simhash, "ITEMS", 2)  # two rows with one word each
+    assert [x.tolist() for x in simhash.near_in_groups(fps, np.full(3, 3), 1)] == [[1], [2]]
+
+
 def similar_groups(texts, least=0.8, shingle=5):
     sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (t.split() for t in texts)]
     comp = list(range(len(texts)))
