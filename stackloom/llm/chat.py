@@ -2,14 +2,17 @@
 
 A message's quoted lines (``>`` after optional blanks) are peeled off level by
 level. The passage at each level, normalised and hashed, is joined to the message
-of the same conversation that first said it; the latest message quoted at the
-first level is the one replied to. Replies form threads; messages come out
+of the same conversation that first said it; what nobody said as a whole is held
+against it by paragraphs, and those by lines. The latest message quoted at the
+shallowest level that links is the one replied to. Replies form threads; messages come out
 without quotes, each with its thread and its place in it, originals first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -46,26 +49,42 @@ def _passages(own: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(parts, normalised)), lambda p: p != "")
 
 
+def _quoted_parts(own: Column) -> Column:
+    """``(rank, para, p)`` of a quoted passage: the whole (0), its paragraphs (1), their lines (2)."""
+    part = lambda rank, para, p: F.struct(F.lit(rank).alias("rank"), para.alias("para"), normalised(p).alias("p"))
+    paras = F.split(own, "\n[ \t]*\n")
+    lines = F.flatten(F.transform(paras, lambda x, i: F.transform(F.split(x, "\n"), lambda y: part(2, i, y))))
+    return F.filter(F.concat(F.array(part(0, F.lit(-1), own)), F.transform(paras, lambda x, i: part(1, i, x)), lines), lambda x: x.p != "")
+
+
 def _hash(passage: Column) -> list[Column]:
     return [F.xxhash64(passage).alias("h1"), F.xxhash64(passage, F.lit(1)).alias("h2")]
 
 
-def quotation_links(messages: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """``(conv_id, turn, level, said_turn)``: passages quoted at a level and the earlier turn that first said them."""
+def quotation_links(messages: DataFrame) -> DataFrame:
+    """``(conv_id, turn, level, said_turn)``: passages quoted at a level and the earlier turn that first said them.
+
+    A paragraph counts where its whole block was not found, a line where its paragraph was not.
+    """
     base = messages.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", "text")
     said = base.select("conv_id", "turn", F.explode(_passages(own_text(F.col("text")))).alias("p")).select("conv_id", "turn", *_hash(F.col("p")))
     first = said.groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("said_turn"))
     found, inner = None, base.where(F.col("text").contains(">"))
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         inner = stored(inner.select("conv_id", "turn", F.explode(quoted_blocks(F.col("text"))).alias("text")), "quotes")
         if inner.isEmpty():
             break
-        at = inner.select("conv_id", "turn", F.lit(level).alias("level"), *_hash(normalised(own_text(F.col("text")))))
+        block = inner.select("conv_id", "turn", F.lit(level).alias("level"), own_text(F.col("text")).alias("own"))
+        at = block.select("conv_id", "turn", "level", F.xxhash64("own").alias("block"), F.inline(_quoted_parts(F.col("own")))).select("conv_id", "turn", "level", "block", "rank", "para", *_hash(F.col("p")))
         found = at if found is None else found.unionByName(at)
         inner = inner.where(F.col("text").contains(">"))
     if found is None:
         return messages.sparkSession.createDataFrame([], "conv_id long, turn long, level int, said_turn long")
-    return found.distinct().join(first, ["conv_id", "h1", "h2"]).where("said_turn < turn").select("conv_id", "turn", "level", "said_turn").distinct()
+    block = ["conv_id", "turn", "level", "block"]
+    known = found.distinct().join(first, ["conv_id", "h1", "h2"]).where("said_turn < turn")
+    least = lambda *keys: F.min("rank").over(Window.partitionBy(*keys))
+    known = known.withColumns({"whole": least(*block), "coarsest": least(*block, "para")})
+    return known.where("rank = 0 or (whole > 0 and rank = coarsest)").select("conv_id", "turn", "level", "said_turn").distinct()
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -80,7 +99,7 @@ def _roots(parents: DataFrame) -> DataFrame:
         now = new.drop("moved")
 
 
-def format_conversations(messages: DataFrame, max_levels: int = 1000) -> DataFrame:
+def format_conversations(messages: DataFrame) -> DataFrame:
     """One row per message: ``(conv_id, turn, role, text, reply_to, thread, depth, place)``.
 
     ``text`` is the message without quoted lines; ``reply_to`` the turn it answers
@@ -94,15 +113,14 @@ def format_conversations(messages: DataFrame, max_levels: int = 1000) -> DataFra
     later turns or of other conversations link nothing.
     """
     base = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    links = stored(quotation_links(base, max_levels).where("level = 1").groupBy("conv_id", "turn").agg(F.max("said_turn").alias("up")), "links")
+    shallowest = F.max(F.struct((-F.col("level")).alias("up_to"), "said_turn"))["said_turn"]
+    links = stored(quotation_links(base).groupBy("conv_id", "turn").agg(shallowest.alias("up")), "links")
     clean = base.select("conv_id", "turn", "role", F.coalesce(own_text(F.col("text")), F.lit("")).alias("text"))
     if links.isEmpty():
         told = clean.select("*", F.lit(None).cast("long").alias("reply_to"), F.col("turn").alias("thread"), F.lit(0).alias("depth"))
     else:
         chains = links.join(_roots(links), ["conv_id", "turn"])
         told = clean.join(chains, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", F.col("up").alias("reply_to"), F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
-    from pyspark.sql import Window
-
     told = told.withColumn("part", F.floor(F.col("turn") / SLICE))
     thread = ["conv_id", "thread"]
     sizes = told.groupBy(*thread, "part").count()

@@ -272,6 +272,16 @@ def test_chat(spark):
     assert {tuple(r) for r in chat.quotation_links(table).collect()} == {(1, 1, 1, 0), (1, 2, 1, 1), (1, 2, 2, 0), (1, 4, 1, 2)}
 
 
+def test_parts_of_a_message_and_deeper_quotes_link(spark):
+    said = "One two\nthree four\nfive six\n\nSecond part\ngoes on\n\nThird part"
+    rows = [
+        (1, 0, said), (1, 1, "other"), (1, 2, "> three four\n> five six\ntwo lines"), (1, 3, "> One two\n> three four\n> five six\n>\n> Second part\n> goes on\ntwo paragraphs"),
+        (1, 4, ">> other\nonly deeper"), (1, 5, "> not said\n> > other\nonly deeper links"), (1, 6, "> other\n>> two lines\nthe first level goes first"),
+    ]
+    table = spark.createDataFrame([(c, n, "user", t) for c, n, t in rows], "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.reply_to for r in chat.format_conversations(table).collect()} == {0: None, 1: None, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1}
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     pool = ["Home", " home\t", "About", "©", "", "  ", "x1", "x2", "HOME"]
