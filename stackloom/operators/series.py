@@ -88,11 +88,45 @@ def span_points(samples: DataFrame, by: list[str]) -> DataFrame:
     return samples.where(F.col("span").isNotNull()).groupBy(*by, "ts_ms", "span").agg(F.sum("total").alias("total"))
 
 
-def delta(rows: DataFrame, keys: list[str], time: str = "ts_ms", value: str = "total") -> DataFrame:
-    """Differences of a cumulative value in order of time; the first row of a key and any reset yield none."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(time, value))
-    out = rows.withColumn("delta", F.col(value) - before)
-    return out.where("delta >= 0")
+def delta(rows: DataFrame, keys: list[str], time: str = "ts_ms", value: str = "total", stack: str | None = None) -> DataFrame:
+    """Differences of a cumulative value in order of time; the first row of a key and any reset yield none.
+
+    With ``stack``, the rows of a key and time are one profile: ``(keys…, time,
+    stack, value, delta)``, values summed per stack. The first profile yields
+    nothing; a stack not seen before, or not since the last reset, its full value;
+    a missing stack keeps its last value; a decrease of any stack resets the key:
+    that profile yields nothing and is all that is known from there.
+    """
+    if stack is None:
+        before = F.lag(value).over(Window.partitionBy(*keys).orderBy(time, value))
+        out = rows.withColumn("delta", F.col(value) - before)
+        return out.where("delta >= 0")
+    summed = rows.groupBy(*keys, time, stack).agg(F.sum(value).alias(value)).withColumn("_key", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    own = Window.partitionBy("_key", stack).orderBy(time)
+    seen = summed.withColumns({"_before": F.lag(value).over(own), "_at": F.lag(time).over(own)})
+    falls = seen.where(F.col(value) < F.col("_before")).groupBy("_key", F.col(time).alias("_fall")).agg(F.max("_at").alias("_since"))
+    kinds = dict(seen.dtypes)
+    resets = falls.repartition("_key").sortWithinPartitions("_key", "_fall").mapInPandas(_resets, f"_key string, _reset {kinds[time]}")
+    marked = seen.join(resets.withColumnRenamed("_key", "_of"), (F.col("_key") == F.col("_of")) & (F.col(time) == F.col("_reset")), "left")
+    key = Window.partitionBy("_key")
+    marked = marked.withColumns({"_last": F.max("_reset").over(key.orderBy(time)), "_first": F.min(time).over(key)})
+    known = F.col("_at").isNotNull() & (F.col("_last").isNull() | (F.col("_at") >= F.col("_last")))
+    out = marked.where(F.col("_reset").isNull() & (F.col(time) > F.col("_first")))
+    return out.select(*keys, time, stack, value, F.when(known, F.col(value) - F.col("_before")).otherwise(F.col(value)).alias("delta"))
+
+
+def _resets(batches):
+    """Of each key's falls, in order, those from a value that is known since the last reset."""
+    key = last = None
+    for batch in batches:
+        hit = []
+        for k, at, since in zip(batch["_key"], batch["_fall"], batch["_since"], strict=True):
+            if k != key:
+                key, last = k, None
+            hit.append(last is None or since >= last)
+            if hit[-1]:
+                last = at
+        yield batch.loc[hit, ["_key", "_fall"]].rename(columns={"_fall": "_reset"})
 
 
 def label_names(rows: DataFrame) -> DataFrame:

@@ -45,6 +45,30 @@ def deltas(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "ts_ms", "total").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_ms long, delta long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stack_deltas(rows: DataFrame, key: str, stack: str = "stack_id") -> DataFrame:
+    """``(key, ts_ms, stack, delta)`` of a cumulative ``total`` per key and stack, as ``series.delta`` has it with ``stack``.
+
+    The rows of a profile, of one key and time, come in one micro-batch.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get, strict=True)) if state.exists else None
+        out = []
+        for ts, profile in pd.concat(list(batches)).groupby("ts_ms", sort=True):
+            now = {s: int(v) for s, v in profile.groupby(stack)["total"].sum().items()}
+            if known is None or any(v < known.get(s, v) for s, v in now.items()):
+                known = now
+                continue
+            out += [(k[0], int(ts), s, v - known.get(s, 0)) for s, v in now.items()]
+            known |= now
+        state.update((list(known), list(known.values())))
+        yield pd.DataFrame(out, columns=[key, "ts_ms", stack, "delta"])
+
+    out, kept = f"{key} {kinds[key]}, ts_ms long, {stack} {kinds[stack]}, delta long", f"stacks array<{kinds[stack]}>, highest array<long>"
+    return rows.select(key, "ts_ms", stack, "total").groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def record(rows: DataFrame, where, by: list[str], path: str, checkpoint: str):
     """Start a query that evaluates a recording rule on each micro-batch and appends its rows to ``path``.
 

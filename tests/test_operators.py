@@ -173,3 +173,19 @@ def test_streaming_deltas_equal_batch(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in series.delta(rows, ["k"]).select("k", "ts_ms", "delta").collect()}
     assert {tuple(r) for r in spark.sql("select * from deltas").collect()} == want
+
+
+def test_deltas_per_stack(spark, tmp_path):
+    from stackloom.streaming import jobs
+
+    profiles_ = [{2: 1, 3: 1}, {2: 1, 3: 1}, {3: 6, 5: 1}, {3: 0, 5: 1}, {2: 4, 3: 2}, {5: 3}]
+    rows = spark.createDataFrame([(k, ts, s, v) for k in ("a", "b") for ts, p in enumerate(profiles_) for s, v in p.items()], "k string, ts_ms long, stack_id long, total long")
+    want = {(k, *x) for k in ("a", "b") for x in [(1, 2, 0), (1, 3, 0), (2, 3, 5), (2, 5, 1), (4, 2, 4), (4, 3, 2), (5, 5, 2)]}
+    assert {(r.k, r.ts_ms, r.stack_id, r.delta) for r in series.delta(rows, ["k"], stack="stack_id").collect()} == want
+    for part in ("ts_ms < 3", "ts_ms >= 3"):  # the state is carried over
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = jobs.stack_deltas(stream, "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
