@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, wide_hash
 
 MARK = "\x01"
 QUOTED = r"^[ \t]*>"
@@ -58,7 +58,7 @@ def _quoted_parts(own: Column) -> Column:
 
 
 def _hash(passage: Column) -> list[Column]:
-    return [F.xxhash64(passage).alias("h1"), F.xxhash64(passage, F.lit(1)).alias("h2")]
+    return wide_hash(passage, "h1", "h2")
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:

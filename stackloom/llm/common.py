@@ -20,7 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a local one made.
+    Only where the session names none and the master is local (tests on one machine)
+    is a local one made; on a cluster a missing setting is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
@@ -43,7 +46,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and that no unfinished result reads any more."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def wide_hash(col, *names: str) -> list:
+    """128 bits of a column as two longs: XXH64 under two unrelated seeds."""
+    return [F.xxhash64(col).alias(names[0]), F.xxhash64(F.lit(1), col).alias(names[1])]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, UPPER, scratch, stored
+from .common import BLANK, LOWER, UPPER, scratch, stored, wide_hash
 
 KEY = ["h1", "h2"]
 
@@ -28,7 +28,7 @@ def lines_of(text) -> Column:
 
 def key_hash(key: Column) -> Column:
     """128 bits of a key, as two longs: at 1e13 distinct lines no collision is expected."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    return F.struct(*wide_hash(key, *KEY))
 
 
 class LineRuns:

@@ -1,22 +1,25 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against a sharded index.
+"""Substring deduplication by relative Lempel-Ziv parsing against indexed blocks.
 
-The reference is the whole collection, cut into index blocks by content: a
-window of ``window`` words belongs to the block of its anchor, the least hash
-among its ``gram``-word shingles, so a window can only be found in one block,
-and looking each document up in the blocks of its own anchors is looking it up
-in every block. The steps:
+The reference is the whole collection, cut into blocks by content. The anchor of
+a window of ``window`` words is the least hash among its ``gram``-word shingles;
+consecutive windows of one anchor form a segment, and a block holds the segments
+of its anchors. Equal windows have equal anchors, so a window can be found in
+one block only, and parsing every segment against the block of its anchor
+is parsing every document against every block. The steps:
 
 * equal texts are folded: of a text that occurs twice every window is repeated;
-* anchors that occur once in the folded collection are discarded (a count);
-* windows at the remaining anchors are indexed by a 96-bit hash with their
-  first occurrence, and those that occur once are discarded;
-* each document is parsed greedily from the left: at a window that is known from
-  elsewhere a factor starts and grows word by word as long as the next window
-  is known too and goes on in the same source; else one word is copied.
-  Windows across a factor boundary are looked up like all others, so factors
-  that meet or overlap leave no gap.
-
-Factors have at least ``window`` words; their words are the duplicate spans.
+* anchors that occur once in the folded collection are discarded (a count): no
+  other place holds one of their windows;
+* the segments of the other anchors are dealt to the blocks. A block is indexed
+  by sorting the suffixes of its segments, and each segment is parsed greedily
+  from the left: a factor is the longest match that starts elsewhere in the block,
+  at least ``window`` words long; where there is none one word is copied;
+* the windows over a factor's end are looked up too, so that factors which meet or
+  overlap leave no gap.
+
+The words of the factors are the duplicate spans. Segments of anchors that more
+than ``HOT`` texts share would make one block too large: their windows are
+counted one by one, pre-aggregated, and are factors of ``window`` words each.
 """
 
 from __future__ import annotations
@@ -29,33 +32,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, portions, stored, utf8
+from .common import map_arrow, mix64, portions, release, stored, utf8, wide_hash
 
 TEXT_KEY = ["t1", "t2"]
-#: Odd multipliers of the two rolling hashes.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Occurrences of an anchor beyond which its windows are counted instead of going to a block.
+HOT = 4096
+#: Windows a block holds, more only where one anchor has more.
+BLOCK = 1 << 18
+FACTOR = "t1 long, t2 long, start int, n_words int, source_t1 long, source_t2 long, source_start int"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *wide_hash(text, *TEXT_KEY))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def rolling(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` items, equal runs getting equal hashes wherever they start."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    m = MULTIPLIERS[which]
-    power = np.full(len(hashes), m, dtype=np.uint64)
+    power = np.full(len(hashes), MULTIPLIER, dtype=np.uint64)
     power[0] = 1
-    back = np.full(n, pow(m, -1, 1 << 64), dtype=np.uint64)
+    back = np.full(n, pow(MULTIPLIER, -1, 1 << 64), dtype=np.uint64)
     back[0] = 1
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ np.uint64(m)) * np.cumprod(power))])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ np.uint64(MULTIPLIER)) * np.cumprod(power))])
     return mix64((total[size:] - total[:n]) * np.cumprod(back))
 
 
@@ -69,21 +75,73 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return at, g[at]
 
 
-def parse(starts: np.ndarray, sources: list) -> list[tuple[int, int, object]]:
-    """Greedy factors ``(first window, windows, source)`` from known windows in order and where each was first seen.
+def longest_matches(group: np.ndarray, w: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match of every window of a block: its number of windows, and the place in the block where it starts.
 
-    A source is ``(key, place)``; a factor grows while the next window is known
-    and follows in the same source.
+    Windows lie segment after segment; ``group`` numbers their anchors, ``w`` hashes
+    their words, ``last`` is the end of their segment (excluded). Length 0: the
+    window occurs nowhere else. Suffixes are sorted by doubling; the longest match of
+    one is the longer of those with its two neighbours.
     """
-    out: list[tuple[int, int, object]] = []
-    for s, (key, place) in zip(starts.tolist(), sources, strict=True):
-        if out:
-            first, n, (k, p) = out[-1]
-            if s == first + n and key == k and place == p + n:
-                out[-1] = (first, n + 1, (k, p))
-                continue
-        out.append((s, 1, (key, place)))
-    return out
+    n = len(w)
+    length, source = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    order = np.lexsort((w, group))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (np.diff(group[order]) != 0) | (w[order][1:] != w[order][:-1])
+    cls = np.empty(n, dtype=np.int64)
+    cls[order] = np.cumsum(new) - 1
+    known = np.bincount(cls)[cls] > 1
+    at = np.flatnonzero(known)
+    if not len(at):
+        return length, source
+    unknown = np.append(np.flatnonzero(~known), n)
+    stop = np.minimum(last, unknown[np.searchsorted(unknown, np.arange(n))])
+    rank, reach, k = cls.copy(), int((stop[at] - at).max()), 1
+    while True:
+        order = np.argsort(rank[at], kind="stable")
+        if k >= reach:
+            break
+        ahead = np.full(len(at), -1, dtype=np.int64)
+        on = at + k < stop[at]
+        ahead[on] = rank[at[on] + k]
+        order = np.lexsort((ahead, rank[at]))
+        mine, then = rank[at][order], ahead[order]
+        rank[at[order]] = np.cumsum(np.append(True, (mine[1:] != mine[:-1]) | (then[1:] != then[:-1])))
+        k *= 2
+    a, b = at[order][:-1], at[order][1:]
+    shared, live, k = np.zeros(len(a) + 2, dtype=np.int64), np.arange(len(a)), 0
+    while len(live):
+        x, y = a[live] + k, b[live] + k
+        same = (x < stop[a[live]]) & (y < stop[b[live]])
+        same[same] = cls[x[same]] == cls[y[same]]
+        live = live[same]
+        k += 1
+        shared[live + 1] = k
+    before = shared[:-1] > shared[1:]
+    length[at[order]] = np.maximum(shared[:-1], shared[1:])
+    source[at[order]] = np.where(before, np.append(-1, a), np.append(b, -1))
+    return length, source
+
+
+def parse(length: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy factors of segments: the window where each starts, and its segment.
+
+    A factor takes the longest match at the first window that has one. The windows over
+    its end are looked up next: the first of them that has a match starts
+    another factor.
+    """
+    found = np.append(np.flatnonzero(length > 0), len(length))
+    nxt = found[np.searchsorted(found, np.arange(len(length) + 1))]
+    segment, at = np.arange(len(first)), first.copy()
+    starts, segments = [], []
+    while len(segment):
+        at = nxt[at]
+        on = at < last[segment]
+        segment, at = segment[on], at[on]
+        starts.append(at)
+        segments.append(segment)
+        at = at + length[at]
+    return (np.concatenate(starts), np.concatenate(segments)) if starts else (np.zeros(0, dtype=np.int64),) * 2
 
 
 def _find_anchors(window: int, gram: int):
@@ -93,62 +151,112 @@ def _find_anchors(window: int, gram: int):
                 found = []
                 for text in utf8(batch.column(1)):
                     at, h = anchors(word_hashes(text.split()), window, gram)
-                    new = np.flatnonzero(np.diff(at, prepend=-1))
-                    found.append(h[new].view(np.int64))
+                    found.append(h[np.flatnonzero(np.diff(at, prepend=-1))].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "anchors"])
 
     return run
 
 
-def _find_windows(window: int, gram: int):
+def _find_segments(window: int, gram: int):
+    """Texts with their known anchors to segments: ``w`` hashes the segment's windows, the first of which starts at word ``start``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, 2):
-                place, one, two = [], [], []
-                for text, known in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                rows, anchor, start, sizes, w = ([np.zeros(0, dtype=np.int64)] for _ in range(5))
+                for row, (text, known) in enumerate(zip(utf8(batch.column(2)), batch.column(3), strict=True)):
                     hashes = word_hashes(text.split())
-                    _, h = anchors(hashes, window, gram)
-                    at = np.flatnonzero(np.isin(h.view(np.int64), np.array(known, dtype=np.int64)))
-                    place.append(at.astype(np.int32))
-                    one.append(rolling(hashes, window)[at].view(np.int64))
-                    two.append((rolling(hashes, window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place, pa.list_(pa.int32())), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int32()))], ["t1", "t2", "place", "w1", "w2"])
+                    place, h = anchors(hashes, window, gram)
+                    hit = np.flatnonzero(np.isin(h.view(np.int64), known.values.to_numpy()))
+                    first = np.flatnonzero(np.diff(place[hit], prepend=-1))
+                    rows.append(np.full(len(first), row))
+                    anchor.append(h[hit][first].view(np.int64))
+                    start.append(hit[first])
+                    sizes.append(np.diff(np.append(first, len(hit))))
+                    w.append(rolling(hashes, window)[hit].view(np.int64))
+                edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                rows = pa.array(np.concatenate(rows))
+                windows = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(w)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(anchor)), pa.array(np.concatenate(start), pa.int32()), windows], ["t1", "t2", "h", "start", "w"])
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
-    """``(t1, t2, copies, factors)`` for every text that is repeated or has repeated windows.
+def _parse_blocks(window: int):
+    """Segments in order of their anchors to factors; a block ends where an anchor does."""
+
+    def block(part: pa.Table) -> pa.RecordBatch:
+        h, t1, t2, start = (part.column(k).to_numpy() for k in range(4))
+        w = part.column(4).combine_chunks()
+        sizes = w.value_lengths().to_numpy()
+        last = np.cumsum(sizes)
+        group = np.repeat(np.cumsum(np.append(True, h[1:] != h[:-1])), sizes)
+        length, source = longest_matches(group, w.flatten().to_numpy(), np.repeat(last, sizes))
+        at, own = parse(length, last - sizes, last)
+        there = source[at]
+        other = np.searchsorted(last, there, side="right")
+        place = lambda where, segment: start[segment] + where - (last - sizes)[segment]
+        columns = [t1[own], t2[own], place(at, own).astype(np.int32), (length[at] + window - 1).astype(np.int32), t1[other], t2[other], place(there, other).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in FACTOR.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(4).flatten())
+            if n < BLOCK:
+                continue
+            part = pa.Table.from_batches(held)
+            h = part.column(0).to_numpy()
+            edge = np.flatnonzero(h != h[-1])
+            if len(edge):
+                yield block(part.slice(0, edge[-1] + 1))
+                held = part.slice(edge[-1] + 1).to_batches()
+                n = sum(len(b.column(4).flatten()) for b in held)
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
 
-    ``t1, t2`` hash the whole text, ``copies`` counts the rows that hold it, and
-    ``factors`` are ``(start, n_words, source_t1, source_t2, source_start)``.
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> tuple[DataFrame, DataFrame]:
+    """``(t1, t2, copies)`` of every distinct text, and the factors of the collection of distinct texts.
+
+    ``t1, t2`` hash a whole text, ``copies`` counts the rows that hold it. A factor
+    ``(t1, t2, start, n_words, source_t1, source_t2, source_start)`` says that from word
+    ``start`` the text's ``n_words`` words are also found in the source's.
     """
     keyed = _keyed(docs, id_col, text_col)
-    seen = stored(keyed.select("doc_id", "text", "t1", "t2").transform(map_arrow, _find_anchors(window, gram), "doc_id " + dict(keyed.dtypes)["doc_id"] + ", t1 long, t2 long, anchors array<long>"), "anchors")
-    folded = stored(seen.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("pick")), "texts")
-    rep = seen.join(folded, [seen.t1 == folded.t1, seen.t2 == folded.t2, seen.doc_id.eqNullSafe(folded.pick)]).select(seen.t1, seen.t2, F.explode("anchors").alias("h"))
-    twice = rep.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = rep.join(twice, "h").groupBy(*TEXT_KEY).agg(F.collect_set("h").alias("known"))
-    hits = stored(hits.join(folded.select("t1", "t2", "pick"), TEXT_KEY), "anchor-hits")
+    seen = keyed.select("doc_id", "text", "t1", "t2").transform(map_arrow, _find_anchors(window, gram), "doc_id " + dict(keyed.dtypes)["doc_id"] + ", t1 long, t2 long, anchors array<long>")
+    folded = stored(seen.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("pick"), F.first("anchors").alias("anchors")), "texts")
+    rep = folded.select("t1", "t2", F.explode("anchors").alias("h"))
+    twice = stored(rep.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    hits = stored(rep.join(twice, "h").groupBy(*TEXT_KEY).agg(F.collect_set("h").alias("known")).join(folded.select("t1", "t2", "pick"), TEXT_KEY), "anchor-hits")
     mine = keyed.join(hits.hint("shuffle_hash"), TEXT_KEY).where(F.col("doc_id").eqNullSafe(F.col("pick")))
-    found = mine.select("t1", "t2", "text", "known").transform(map_arrow, _find_windows(window, gram), "t1 long, t2 long, place array<int>, w1 array<long>, w2 array<int>")
-    found = stored(found, "windows").select("t1", "t2", F.explode(F.arrays_zip("place", "w1", "w2")).alias("w")).select("t1", "t2", "w.place", "w.w1", "w.w2")
-    index = found.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("source")).where("n > 1").drop("n")
-    known = found.join(index, ["w1", "w2"]).groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("known"))
+    segments = stored(mine.select("t1", "t2", "text", "known").transform(map_arrow, _find_segments(window, gram), "t1 long, t2 long, h long, start int, w array<long>"), "segments")
+    texts = stored(folded.select("t1", "t2", "copies"), "copies")
+    release(folded, hits)
+
+    hot = twice.where(F.col("n") > HOT).select("h")
+    dealt = segments.select("h", "t1", "t2", "start", "w").join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+    found = dealt.transform(map_arrow, _parse_blocks(window), FACTOR)
+    single = segments.join(hot, "h", "left_semi").select("h", "t1", "t2", "start", F.posexplode("w").alias("k", "w")).select("h", "w", "t1", "t2", (F.col("start") + F.col("k")).alias("start"))
+    source = F.struct("t1", "t2", "start")
+    index = single.groupBy("h", "w").agg(F.min(source).alias("low"), F.max(source).alias("high"), F.count("*").alias("n")).where("n > 1")
+    counted = single.join(stored(index.select("h", "w", "low", "high"), "hot-windows"), ["h", "w"])
+    other = F.when(F.col("low") != source, F.col("low")).otherwise(F.col("high"))
+    counted = counted.select("t1", "t2", "start", F.lit(window).alias("n_words"), *[other[c].alias(f"source_{c}") for c in ("t1", "t2", "start")])
+    out = stored(found.unionByName(counted), "factors")
+    release(segments, twice)
+    return texts, out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source_t1", pa.int64()), ("source_t2", pa.int64()), ("source_start", pa.int32())]))
-        for batch in batches:
-            out = []
-            for rows in batch.column(2).to_pylist():
-                starts = np.array([r["place"] for r in rows], dtype=np.int64)
-                sources = [((r["source"]["t1"], r["source"]["t2"]), r["source"]["place"]) for r in rows]
-                out.append([(first, n + window - 1, *key, place) for first, n, (key, place) in parse(starts, sources)])
-            out = [[dict(zip(("start", "n_words", "source_t1", "source_t2", "source_start"), f, strict=True)) for f in fs] for fs in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["t1", "t2", "factors"])
 
-    factors = known.select("t1", "t2", "known").transform(map_arrow, run, "t1 long, t2 long, factors array<struct<start:int,n_words:int,source_t1:long,source_t2:long,source_start:int>>")
-    return folded.where("copies > 1").select("t1", "t2", "copies").join(factors, TEXT_KEY, "full").withColumn("copies", F.coalesce("copies", F.lit(1)))
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
+    """``(t1, t2, copies, factors)`` for every text that is repeated or has factors, see :func:`factors`."""
+    texts, found = factors(docs, id_col, text_col, window, gram)
+    listed = found.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n_words", "source_t1", "source_t2", "source_start"))).alias("factors"))
+    return texts.join(listed, TEXT_KEY, "left").where("copies > 1 or factors is not null")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
@@ -161,7 +269,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows repeat each other and so lose every word if they have a window; ids may
     be null or repeated and only name the rows; other columns are ignored.
     """
-    spans = stored(duplicate_spans(docs, id_col, text_col, window, gram).select("t1", "t2", "copies", F.transform("factors", lambda f: f["start"]).alias("starts"), F.transform("factors", lambda f: f["n_words"]).alias("sizes")), "spans")
+    texts, found = factors(docs, id_col, text_col, window, gram)
+    listed = found.groupBy(*TEXT_KEY).agg(F.collect_list(F.struct("start", "n_words")).alias("f"))
+    listed = listed.select(*TEXT_KEY, F.col("f.start").alias("starts"), F.col("f.n_words").alias("sizes"))
+    spans = stored(texts.join(listed, TEXT_KEY, "left").where("copies > 1 or starts is not null"), "spans")
+    release(texts, found)
     joined = _keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), TEXT_KEY, "left").select("doc_id", "text", "copies", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

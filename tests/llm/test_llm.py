@@ -188,7 +188,9 @@ def test_recall_on_the_table(spark):
     assert hit >= 0.9 * total
 
 
-def test_substring_matches_brute_force(spark, texts):
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_substring_matches_brute_force(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
     got = {r.doc_id: r for r in substring.dedup_substrings(docs(spark, texts)).collect()}
     words = [[w for w in re.split(f"[{BLANK}]+", t or "") if w] for t in texts]
     seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -199,8 +201,42 @@ def test_substring_matches_brute_force(spark, texts):
     assert got[8].n_removed == 90
 
 
-def test_factors_follow_one_source():
-    assert substring.parse(np.array([3, 4, 5, 9]), [("a", 1), ("a", 2), ("b", 7), ("b", 8)]) == [(3, 2, ("a", 1)), (5, 1, ("b", 7)), (9, 1, ("b", 8))]
+def test_factors_are_the_longest_matches():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 12, 60)
+    last = np.cumsum(sizes)
+    ends, group = np.repeat(last, sizes), np.repeat(rng.integers(0, 3, 60), sizes)
+    w = rng.integers(0, 4, last[-1]).astype(np.int64)
+    length, source = substring.longest_matches(group, w, ends)
+
+    def shared(a, b):
+        k = 0
+        while a + k < ends[a] and b + k < ends[b] and (group[a + k], w[a + k]) == (group[b + k], w[b + k]):
+            k += 1
+        return k
+
+    for a in range(len(w)):
+        assert length[a] == max(shared(a, b) for b in range(len(w)) if b != a)
+        assert not length[a] or shared(a, source[a]) == length[a]
+    at, segment = substring.parse(length, last - sizes, last)
+    covered = {int(a) + k for a in at for k in range(length[a])}
+    assert covered == set(np.flatnonzero(length > 0).tolist()) and (ends[at] == last[segment]).all()
+    assert [x.tolist() for x in substring.longest_matches(np.zeros(2, int), np.arange(2), np.array([2, 2]))] == [[0, 0], [-1, -1]]
+
+
+def test_factors_name_a_source_that_holds_the_words(spark, texts, monkeypatch):
+    words = {}
+    for row in substring._keyed(docs(spark, texts), "doc_id", "text").collect():
+        words[row.t1, row.t2] = row.text.encode().split()
+    for hot in (substring.HOT, 1):  # 1: every window is counted
+        monkeypatch.setattr(substring, "HOT", hot)
+        found = substring.duplicate_spans(docs(spark, texts)).where("factors is not null").collect()
+        assert len(found) >= 5
+        for r in found:
+            for f in r.factors:
+                assert (r.t1, r.t2, f.start) != (f.source_t1, f.source_t2, f.source_start) and f.n_words >= 35
+                there = words[f.source_t1, f.source_t2]
+                assert words[r.t1, r.t2][f.start : f.start + f.n_words] == there[f.source_start : f.source_start + f.n_words]
 
 
 def test_decontamination(spark, texts):
