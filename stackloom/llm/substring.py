@@ -19,7 +19,7 @@ is parsing every document against every block. The steps:
 
 The words of the factors are the duplicate spans. Segments of anchors that more
 than ``HOT`` texts share would make one block too large: their windows are
-counted one by one, pre-aggregated, and are factors of ``window`` words each.
+counted one by one, pre-aggregated, and runs of repeated ones are the factors.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from .common import map_arrow, mix64, portions, release, stored, utf8, wide_hash
 TEXT_KEY = ["t1", "t2"]
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Occurrences of an anchor beyond which its windows are counted instead of going to a block.
-HOT = 4096
+HOT = 1024
 #: Windows a block holds, more only where one anchor has more.
 BLOCK = 1 << 18
 FACTOR = "t1 long, t2 long, start int, n_words int, source_t1 long, source_t2 long, source_start int"
@@ -220,12 +220,28 @@ def _parse_blocks(window: int):
     return run
 
 
+def _counted(segments: DataFrame, window: int) -> DataFrame:
+    """The factors of hot segments, without a source: the windows that are not the only ones of their words, in runs.
+
+    Only the lone windows come back from the count, each with its place, so nothing is joined by a hot key.
+    """
+    each = segments.select("h", "t1", "t2", F.col("start").alias("of"), F.posexplode("w").alias("k", "w"))
+    lone = each.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "of", "k")).alias("at")).where("n = 1")
+    parts = segments.select("t1", "t2", F.col("start").alias("of"), F.size("w").alias("n"), F.lit(None).cast("int").alias("k")).unionByName(lone.select("at.t1", "at.t2", "at.of", F.lit(None).cast("int").alias("n"), "at.k"))
+    whole = parts.groupBy("t1", "t2", "of").agg(F.max("n").alias("n"), F.collect_list("k").alias("lone"))
+    known = whole.withColumn("known", F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "lone"))
+    edge = lambda step: F.filter("known", lambda k: ~F.array_contains("known", k + step))
+    runs = known.select("t1", "t2", "of", F.explode(F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b"))).alias("run"))
+    return runs.select("t1", "t2", (F.col("of") + F.col("run.a")).alias("start"), (F.col("run.b") - F.col("run.a") + window).alias("n_words"), *[F.lit(None).cast(kind).alias(f"source_{c}") for c, kind in (("t1", "long"), ("t2", "long"), ("start", "int"))])
+
+
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(t1, t2, copies)`` of every distinct text, and the factors of the collection of distinct texts.
 
     ``t1, t2`` hash a whole text, ``copies`` counts the rows that hold it. A factor
     ``(t1, t2, start, n_words, source_t1, source_t2, source_start)`` says that from word
-    ``start`` the text's ``n_words`` words are also found in the source's.
+    ``start`` the text's ``n_words`` words are also found in the source's; the source is
+    null where every window of the run was only counted (``HOT``).
     """
     keyed = _keyed(docs, id_col, text_col)
     seen = keyed.select("doc_id", "text", "t1", "t2").transform(map_arrow, _find_anchors(window, gram), "doc_id " + dict(keyed.dtypes)["doc_id"] + ", t1 long, t2 long, anchors array<long>")
@@ -241,13 +257,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     hot = twice.where(F.col("n") > HOT).select("h")
     dealt = segments.select("h", "t1", "t2", "start", "w").join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     found = dealt.transform(map_arrow, _parse_blocks(window), FACTOR)
-    single = segments.join(hot, "h", "left_semi").select("h", "t1", "t2", "start", F.posexplode("w").alias("k", "w")).select("h", "w", "t1", "t2", (F.col("start") + F.col("k")).alias("start"))
-    source = F.struct("t1", "t2", "start")
-    index = single.groupBy("h", "w").agg(F.min(source).alias("low"), F.max(source).alias("high"), F.count("*").alias("n")).where("n > 1")
-    counted = single.join(stored(index.select("h", "w", "low", "high"), "hot-windows"), ["h", "w"])
-    other = F.when(F.col("low") != source, F.col("low")).otherwise(F.col("high"))
-    counted = counted.select("t1", "t2", "start", F.lit(window).alias("n_words"), *[other[c].alias(f"source_{c}") for c in ("t1", "t2", "start")])
-    out = stored(found.unionByName(counted), "factors")
+    out = stored(found.unionByName(_counted(segments.join(hot, "h", "left_semi"), window)), "factors")
     release(segments, twice)
     return texts, out
 
