@@ -63,6 +63,14 @@ def wide_hash(col, *names: str) -> list:
     return [F.xxhash64(col).alias(names[0]), F.xxhash64(F.lit(1), col).alias(names[1])]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,19 +18,22 @@ A cell returns a spanning forest of its links, nearest pairs first, not all
 pairs; components are then taken over the forests of all cells.
 
 Where a similarity is asked for as well, texts of one shingle set are folded
-first, and a link only counts once verified by the exact Jaccard similarity of
-the two shingle sets. Fingerprints are then a quick proposal, not a bound: what
-they or the forests leave apart is completed by prefixes. In the order of their
-hashes, two sets of similarity ``t`` share a shingle among the first
-``n - ceil(t n) + 1`` of each; where texts of different components meet at such
-a shingle, every pair that can be similar is verified. So no pair is lost.
+first, buckets are shared shingles, and a link only counts once verified by the
+exact Jaccard similarity of the two shingle sets. Each text goes to the buckets
+of its ``LEAST`` shingles of least hash: of the shingles that either of two texts of
+similarity ``t`` has, each of the least is in both with probability ``t``, so a pair at 0.8
+shares no bucket with probability ``0.2 ** LEAST`` at most. In the buckets the SimHashes of the sets,
+64 bits for each table, are compared with a radius four standard deviations above the
+distance expected at ``t``. A cell proposes ``FORESTS`` forests without common links. Where some
+proved dissimilar, they may have stood for similar pairs: the texts of the components at their ends are
+compared once more, and each proposes the ``NEAREST`` texts of other components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import ceil
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, portions, stored, utf8
+from .common import fresh, map_arrow, mix64, portions, release, stored, utf8
 from .components import connected_components
 
 #: Rows of a bucket that one cell takes from each of two blocks.
@@ -51,6 +54,12 @@ ITEMS = 1 << 17
 SLICE = 1 << 15
 #: Added to a hash before it is scrambled for the next table (0 would stay 0).
 SALT = np.uint64(0x9E3779B97F4A7C15)
+#: Buckets of a text where a similarity is asked for, and the forests that a cell then proposes.
+LEAST, FORESTS = 12, 3
+#: Texts of other components that a text proposes in a cell where forests have failed.
+NEAREST = 32
+#: One text in so many is counted to find the buckets over ``CELL``.
+COUNTED = 16
 
 
 def _digests(text: bytes, shingle: int) -> bytes:
@@ -66,37 +75,57 @@ def _digests(text: bytes, shingle: int) -> bytes:
     return b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
 
 
-def fingerprint_bytes(text: bytes, shingle: int = 4, tables: int = 1) -> bytes:
-    """Eight big-endian bytes for each table: the SimHashes of one text's word shingles.
-
-    The first is of the hashes as they are, each further one of the hashes scrambled once more.
-    """
-    digests = _digests(text, shingle)
-    if not digests:
-        return bytes(8 * tables)
-    counts = np.zeros((tables, 64), dtype=np.int64)
-    n = len(digests) // 8
+def majority(hashes: np.ndarray) -> bytes:
+    """Eight big-endian bytes: the bits that more than half of the hashes have."""
+    counts, n = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, n, SLICE):
-        hashes = np.frombuffer(digests, dtype=">u8", count=min(SLICE, n - at), offset=8 * at)
-        for k in range(tables):
-            counts[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            if k + 1 < tables:
-                hashes = mix64(hashes.astype(np.uint64) + SALT).astype(">u8")
+        counts += np.unpackbits(hashes[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tables: int = 1) -> DataFrame:
-    """``(doc_id, fp, fp1, …)``: the fingerprint of each table as a signed long. Null or blank texts get 0."""
-    names = ["fp", *[f"fp{k}" for k in range(1, tables)]]
+def fingerprint_bytes(text: bytes, shingle: int = 4) -> bytes:
+    """Eight big-endian bytes: the SimHash of the text's word shingles, repeats included."""
+    return majority(np.frombuffer(_digests(text, shingle), dtype=">u8"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """``(doc_id, fp)``: each text's fingerprint as a signed long. Null or blank texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join([fingerprint_bytes(t, shingle, tables) for t in utf8(batch.column(1))])
-            fps = np.frombuffer(found, dtype=">i8").astype(np.int64).reshape(-1, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(tables)]], ["doc_id", *names])
+            found = b"".join([fingerprint_bytes(t, shingle) for t in utf8(batch.column(1))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
-    schema = ", ".join(f"{n} long" for n in ["doc_id", *names])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_arrow, run, schema)
+
+def sketches(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, fp, k1, k2, words, least)``.
+
+    ``fp`` is the text's fingerprint; ``k1, k2`` are a 128-bit hash of its set of shingles, ``words``
+    that set's SimHashes, one for each table (each table scrambles the hashes once more), and
+    ``least`` its shingles of least hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole, 1):
+                fps, keys, words, least = [], [], [], []
+                for text in utf8(batch.column(1)):
+                    hashes = np.frombuffer(_digests(text, shingle), dtype=">u8")
+                    own = np.unique(hashes.astype(np.uint64))
+                    fps.append(majority(hashes))
+                    keys.append(xxhash.xxh128_digest(own.tobytes()))
+                    least.append(own[:LEAST].view(np.int64))
+                    for k in range(tables):
+                        own = mix64(own + SALT) if k else own
+                        words.append(majority(own))
+                long = lambda parts, n: np.frombuffer(b"".join(parts), dtype=">i8").astype(np.int64).reshape(-1, n)
+                keys, words = long(keys, 2), long(words, tables)
+                columns = [batch.column(0), pa.array(long(fps, 1)[:, 0]), *[pa.array(keys[:, k].copy()) for k in (0, 1)], pa.array(list(words), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "k1", "k2", "words", "least"])
+
+    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, fp long, k1 long, k2 long, words array<long>, least array<long>")
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -141,19 +170,23 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.nda
     return np.array(kept, dtype=np.int64)
 
 
-def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a spanning forest of all pairs of a group within the radius, nearest first.
+def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int, forests: int = 1, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The links of spanning forests of all pairs of a group within the radius, nearest first.
 
     Groups lie one after another; ``last`` is, for each row, the end of its group
-    (excluded). The two arrays hold rows, the smaller one first.
+    (excluded). A fingerprint is one word, or a row of several. Further forests
+    are of the links that are left. With ``label``, instead of forests, each row's
+    ``NEAREST`` links to rows of another label. The two arrays hold rows, the smaller one first.
     """
+    fps = fps.reshape(len(fps), -1)
+    thin = (lambda a, b: _spanning(fps, a, b, forests)) if label is None else (lambda a, b: _nearest(fps, a, b, label))
     n = len(fps)
     words = (n + 63) >> 6
-    lanes = np.zeros(words << 6, dtype=np.uint64)
+    lanes = np.zeros((words << 6, fps.shape[1]), dtype=np.uint64)
     lanes[:n] = fps
-    planes = np.empty((64, words), dtype=np.uint64)
-    for bit in range(64):
-        planes[bit] = np.packbits(((lanes >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
+    planes = np.empty((64 * fps.shape[1], words), dtype=np.uint64)
+    for bit in range(len(planes)):
+        planes[bit] = np.packbits(((lanes[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
     kept = [np.zeros((2, 0), dtype=np.int64)]
     rows = np.flatnonzero(np.arange(1, n + 1) < last)
     spans = ((last[rows] - 1) >> 6) - ((rows + 1) >> 6) + 1
@@ -168,16 +201,34 @@ def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.n
         low = np.clip(query + 1 - (word << 6), 0, 63).astype(np.uint64)
         high = np.clip(last[query] - (word << 6), 1, 64).astype(np.uint64)
         alive = (np.uint64(0xFFFFFFFFFFFFFFFF) << low) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - high))
-        kept.append(_spanning(fps, *_within(planes, fps, query, word, alive, radius)))
-    return _spanning(fps, *np.concatenate(kept, axis=1))
-
-
-def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a):
-        return np.zeros((2, 0), dtype=np.int64)
-    rows, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    tree = forest(len(rows), ends[: len(a)], ends[len(a) :], np.bitwise_count(fps[a] ^ fps[b]))
-    return np.stack([a[tree], b[tree]])
+        kept.append(thin(*_within(planes, fps, query, word, alive, radius)))
+    return thin(*np.concatenate(kept, axis=1))
+
+
+def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forests: int) -> np.ndarray:
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+    for _ in range(forests):
+        if not len(a):
+            break
+        rows, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        tree = forest(len(rows), ends[: len(a)], ends[len(a) :], distance)
+        out.append(np.stack([a[tree], b[tree]]))
+        rest = np.ones(len(a), dtype=bool)
+        rest[tree] = False
+        a, b, distance = a[rest], b[rest], distance[rest]
+    return np.concatenate(out, axis=1)
+
+
+def _nearest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    apart = label[a] != label[b]
+    a, b = a[apart], b[apart]
+    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+    ends, keep = np.concatenate([a, b]), np.zeros(len(a), dtype=bool)
+    order = np.lexsort((np.tile(distance, 2), ends))
+    starts = np.searchsorted(ends[order], ends[order])
+    keep[order[np.arange(len(order)) - starts < NEAREST] % max(1, len(a))] = True
+    return np.stack([a[keep], b[keep]])
 
 
 def _within(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +237,8 @@ def _within(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.nda
     counter = [np.zeros(len(query), dtype=np.uint64) for _ in range(radius.bit_length())]
     over = np.zeros(len(query), dtype=np.uint64)
     one = np.uint64(1)
-    for bit in range(0, 64, 2):
-        d = [planes[b][word] ^ (np.uint64(0) - ((value >> np.uint64(b)) & one)) for b in (bit, bit + 1)]
+    for bit in range(0, len(planes), 2):
+        d = [planes[b][word] ^ (np.uint64(0) - ((value[:, b >> 6] >> np.uint64(b & 63)) & one)) for b in (bit, bit + 1)]
         either = d[0] ^ d[1]
         carry = (counter[0] & either) | (d[0] & d[1])
         counter[0] ^= either
@@ -221,13 +272,16 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int = 1, forests: int = 1, labelled: bool = False):
+    """Rows ``(bucket, cell, rep, word, …)`` in order of their cells to ``(src, dst)``; ``labelled`` ones have a label at the end."""
+    n = 3 + words + labelled
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(final: bool) -> pa.RecordBatch | None:
             nonlocal held
-            rows = np.concatenate(held, axis=1) if held else np.zeros((4, 0), dtype=np.int64)
+            rows = np.concatenate(held, axis=1) if held else np.zeros((n, 0), dtype=np.int64)
             edge = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
             end = rows.shape[1] if final else (edge[-1] if len(edge) else 0)
             held = [rows[:, end:]]
@@ -236,12 +290,12 @@ def _compare(radius: int):
                 return None
             start = np.concatenate([[0], edge])
             size = np.diff(np.concatenate([start, [end]]))
-            a, b = near_in_groups(np.ascontiguousarray(rows[2]).view(np.uint64), np.repeat(start + size, size), radius)
-            a, b = rows[3][a], rows[3][b]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
+            a, b = near_in_groups(np.ascontiguousarray(rows[3 : 3 + words].T).view(np.uint64), np.repeat(start + size, size), radius, forests, rows[-1] if labelled else None)
+            pairs = np.unique(np.sort(np.stack([rows[2][a], rows[2][b]]), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[1].copy()), pa.array(pairs[0].copy())], ["src", "dst"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(4)]).astype(np.int64))
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(n)]).astype(np.int64))
             if sum(x.shape[1] for x in held) >= BUFFER and (out := flush(False)) is not None:
                 yield out
         if (out := flush(True)) is not None:
@@ -250,90 +304,88 @@ def _compare(radius: int):
     return run
 
 
+def _in_cells(keyed: DataFrame, hot: DataFrame, radius: int, forests: int = 1) -> DataFrame:
+    """``keyed(bucket, rep, word, …)``, at the end perhaps ``label``, to the links of its cells; ``hot(bucket, blocks)`` are the buckets over ``CELL``."""
+    columns = keyed.columns[2:]
+    labelled = columns[-1] == "label"
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.expr("transform(sequence(0, blocks - 1), c -> least(c, block) * blocks + greatest(c, block))"))
+    dealt = keyed.join(hot, "bucket", "left").withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "rep", *columns)
+    run = _compare(radius, len(columns) - labelled, forests, labelled)
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, run, "src long, dst long")
+
+
 def links(groups: DataFrame, radius: int = 4) -> DataFrame:
     """``groups(fp, rep)`` with distinct fp to ``(src, dst)`` of reps: a forest that connects what the radius connects."""
-    keyed = groups.select("fp", "rep", F.explode(_bucket_keys(F.col("fp"), radius)).alias("bucket"))
+    keyed = groups.select(F.explode(_bucket_keys(F.col("fp"), radius)).alias("bucket"), "rep", "fp")
     hot = stored(keyed.groupBy("bucket").count().where(F.col("count") > CELL).select("bucket", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")), "hot-buckets")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.expr("transform(sequence(0, blocks - 1), c -> least(c, block) * blocks + greatest(c, block))"))
-    dealt = keyed.join(hot, "bucket", "left").withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "fp", "rep")
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").transform(map_arrow, _compare(radius), "src long, dst long")
+    return _in_cells(keyed, hot, radius)
 
 
-def _similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those edges whose ends' shingle sets have a Jaccard similarity of ``least`` or more."""
+def radius_at(similarity: float, bits: int) -> int:
+    """Differing bits, of ``bits``, that two sets of this Jaccard similarity pass with four standard deviations to spare."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return min(bits, ceil(bits * p + 4 * sqrt(bits * p * (1 - p))))
+
+
+def proposals(sets: DataFrame, least: float, tables: int) -> DataFrame:
+    """``sets(rep, words, least)`` to pairs ``(src, dst)`` that share a bucket and are within the radius of the similarity.
+
+    With a column ``label``, pairs of different labels.
+    """
+    label = ["label"] if "label" in sets.columns else []
+    keyed = sets.select(F.explode("least").alias("bucket"), "rep", *[F.col("words")[k].alias(f"word{k}") for k in range(tables)], *label)
+    # a bucket over CELL has CELL / COUNTED of the counted texts, give or take; one missed or too many changes no result
+    few = keyed.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(COUNTED)) == 0).groupBy("bucket").agg((F.count("*") * COUNTED).alias("count"))
+    hot = stored(few.where(F.col("count") > CELL // 2).select("bucket", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("blocks")), "hot-buckets")
+    return _in_cells(keyed, hot, radius_at(least, 64 * tables), FORESTS).distinct()
+
+
+def _shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, has)``: the shingle sets of the edges' ends."""
     ends = edges.select(F.col("src").alias("doc_id")).unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, 1):
                 sets = [shingle_set(t, shingle) for t in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "has"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "has"])
+
+    sets = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").transform(map_arrow, run, "doc_id long, has array<long>")
+    return stored(sets.dropDuplicates(["doc_id"]), "shingle-sets")
+
 
-    sets = docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").transform(map_arrow, run, "doc_id long, has array<int>")
-    sets = stored(sets.dropDuplicates(["doc_id"]), "shingle-sets")
+def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct edges whose ends' shingle sets have a Jaccard similarity of ``least`` or more."""
     a = sets.select(F.col("doc_id").alias("src"), F.col("has").alias("one"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("has").alias("two"))
     shared = F.size(F.array_intersect("one", "two"))
     joined = edges.join(a, "src").join(b, "dst").select("src", "dst", shared.alias("shared"), (F.size("one") + F.size("two")).alias("sizes"))
-    return joined.where(F.col("shared") >= F.lit(least) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("src", "dst")
+    return stored(joined.where(F.col("shared") >= F.lit(least) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("src", "dst"), "verified")
+
+
+def _similar_components(sets: DataFrame, more: DataFrame, docs: DataFrame, shingle: int, least: float, tables: int) -> DataFrame:
+    """``(node, component)`` over the verified links of ``sets(rep, words, least)`` and the edges ``more``."""
+    near = stored(proposals(sets, least, tables), "near")
+    has = _shingle_sets(near, docs, shingle)
+    good = _verified(near, has, least)
+    found = stored(connected_components(good.unionByName(more)), "found")
+    bad = near.join(good, ["src", "dst"], "left_anti")
+    ends = bad.select(F.col("src").alias("node")).unionByName(bad.select(F.col("dst").alias("node"))).distinct()
+    failed = ends.join(found, "node", "left").select(F.coalesce("component", "node").alias("label")).distinct()
+    placed = sets.join(found, sets.rep == found.node, "left").select("rep", "words", "least", F.coalesce("component", "rep").alias("label"))
+    again = stored(placed.join(stored(failed, "failed"), "label", "left_semi").select("rep", "words", "least", "label"), "again")
+    apart = stored(proposals(again, least, tables).join(bad, ["src", "dst"], "left_anti"), "apart")
+    good = _verified(apart, has, least)
+    release(near, has, again)
+    if good.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(good))
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Distinct 32-bit hashes of a text's word shingles (of all its words if they are fewer)."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int32)
-    runs = {xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-    return np.fromiter(runs, dtype=np.uint32, count=len(runs)).view(np.int32)
-
-
-def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``(doc_id, k1, k2, size, prefix)``: a 128-bit hash of each text's shingle set, its size, and its first shingles' hashes in order.
-
-    Two sets of similarity ``least`` or more have the first hash that they share in both prefixes.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in portions(batch, 1):
-                sets = [np.unique(np.frombuffer(_digests(t, shingle), dtype=">i8").astype(np.int64)) for t in utf8(part.column(1))]
-                keys = np.frombuffer(b"".join([xxhash.xxh128_digest(x.tobytes()) for x in sets]), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                first = [x[: len(x) - ceil(least * len(x) - 1e-9) + 1] for x in sets]
-                columns = [part.column(0), *[pa.array(keys[:, k].copy()) for k in (0, 1)], pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "size", "prefix"])
-
-    return docs.select("doc_id", "text").transform(map_arrow, run, "doc_id long, k1 long, k2 long, size int, prefix array<long>")
-
-
-def _completed(found: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``found(node, component)`` and further verified links as edges, that connect every pair of ``sets(rep, size, prefix)`` that is similar.
-
-    Where components meet at a shingle of the prefixes, first each text is held
-    against one of another component, then all pairs of texts that are still apart.
-    """
-    edges = stored(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "verified")
-    placed = sets.join(found, sets.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"), "size", "prefix")
-    mixed = placed.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    met = placed.select("rep", "component", "size", F.posexplode("prefix").alias("pos", "token")).join(mixed, "token", "left_semi")
-    met = stored(met.select("token", "rep", "component", "size", (F.col("size") - F.col("pos")).alias("rest")), "met")
-    can = F.least("rest", "rest2") * F.lit(1 + least) >= F.lit(least) * (F.col("size") + F.col("size2")) - F.lit(1e-6)
-
-    low = met.groupBy("token").agg(F.min(F.struct("component", "rep", "size", "rest")).alias("low"))
-    star = met.join(low, "token").select("rep", "component", "size", "rest", F.col("low.rep").alias("rep2"), F.col("low.component").alias("component2"), F.col("low.size").alias("size2"), F.col("low.rest").alias("rest2"))
-    pairs = stored(star.where((F.col("component") != F.col("component2")) & can).select(F.greatest("rep", "rep2").alias("src"), F.least("rep", "rep2").alias("dst")).distinct(), "star")
-    more = stored(_similar(pairs, docs, shingle, least), "verified")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        now = stored(connected_components(edges), "components")
-        met = met.join(now, met.rep == now.node, "left").select("token", "rep", F.coalesce(now.component, "rep").alias("component"), "size", "rest")
-        mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        met = stored(met.join(mixed, "token", "left_semi"), "met")
-
-    other = met.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "size", "rest")])
-    apart = met.join(other, "token").where((F.col("rep") > F.col("rep2")) & (F.col("component") != F.col("component2")) & can)
-    pairs = stored(apart.select(F.col("rep").alias("src"), F.col("rep2").alias("dst")).distinct(), "apart")
-    return edges.unionByName(stored(_similar(pairs, docs, shingle, least), "verified"))
+    """Distinct hashes of a text's word shingles (of all its words if they are fewer)."""
+    return np.unique(np.frombuffer(_digests(text, shingle), dtype=">i8").astype(np.int64))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, min_similarity: float | None = None, tables: int = 1) -> DataFrame:
@@ -341,55 +393,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``fingerprint`` is 16 lower-case hex digits, ``component_id`` the least id of
     the documents reachable over links of at most ``radius`` differing bits or,
-    with ``min_similarity``, over links of at least that Jaccard similarity of
-    the shingle sets, whatever their fingerprints. ``radius`` and ``tables``, the
-    number of independent fingerprints, then only say which links are proposed
-    first, and change no result; more tables than one need ``min_similarity``.
+    with ``min_similarity``, over verified links of at least that Jaccard similarity of
+    the shingle sets; then ``radius`` is not used, and ``tables`` is the number of
+    fingerprint words by which pairs are proposed. More tables than one need ``min_similarity``.
     Null, empty and blank texts have fingerprint zero and link like others;
-    repeated rows stay as many rows; rows with a null id have a null component;
-    other columns are ignored; an empty table gives an empty result.
+    repeated rows stay as many rows; rows that share an id share a component; rows with a null
+    id have a null component; other columns are ignored; an empty table gives an empty result.
     """
     if tables > 1 and min_similarity is None:
         raise ValueError("several tables need a similarity to verify")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = stored(fingerprints(texts, shingle=shingle, tables=tables), "fingerprints")
-    known = fps.where("doc_id is not null")
-
-    def grouped(known: DataFrame, fp: str) -> DataFrame:
-        return stored(known.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("ids")), "fp-groups")
-
     if min_similarity is not None:
-        sets = stored(_prefixes(texts.where("doc_id is not null"), shingle, min_similarity), "prefixes")
-        alike = [F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("size").alias("size"), F.first("prefix").alias("prefix")]
-        folded = stored(sets.groupBy("k1", "k2").agg(*alike), "sets")
-        copies = sets.select("doc_id", "k1", "k2").join(folded.where("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id > rep")
-        one = stored(known.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "fingerprints")
-        near = None
-        for fp in fps.columns[1:]:
-            groups = grouped(one, fp)
-            same = one.select("doc_id", F.col(fp).alias("fp")).join(groups.where("ids > 1"), "fp").where("doc_id > rep")
-            found = stored(links(groups, radius).unionByName(same.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))), "near")
-            near = found if near is None else near.unionByName(found)
-        found = stored(connected_components(_similar(stored(near.distinct(), "near"), texts, shingle, min_similarity)), "components")
-        edges = _completed(found, folded.select("rep", "size", "prefix"), texts, shingle, min_similarity)
-        found = connected_components(edges.unionByName(copies.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
-        named = fps.join(found, fps.doc_id == found.node, "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+        sets = stored(sketches(texts, shingle, tables), "sketches")
+        known = sets.where("doc_id is not null").groupBy("k1", "k2")
+        folded = stored(known.agg(F.min("doc_id").alias("rep"), F.first("words").alias("words"), F.first("least").alias("least")), "sets")
+        found = _similar_components(folded.select("rep", "words", "least"), _same_id(sets, folded), texts, shingle, min_similarity, tables)
+        placed = folded.join(found, folded.rep == found.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+        named = sets.select("doc_id", "fp", "k1", "k2").join(stored(placed, "components"), ["k1", "k2"], "left")
+        named = named.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        release(folded)
     else:
-        groups = grouped(known, "fp")
+        fps = stored(fingerprints(texts, shingle=shingle), "fingerprints")
+        groups = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-groups")
         found = connected_components(links(groups, radius))
         named = groups.join(found, groups.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
         named = fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return named.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: its least id; rows with a null id all stay.
+def _same_id(sets: DataFrame, folded: DataFrame) -> DataFrame:
+    """Edges between the sets of rows that share an id."""
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").select("doc_id")
+    reps = sets.join(several, "doc_id").select("doc_id", "k1", "k2").join(folded.select("k1", "k2", "rep"), ["k1", "k2"])
+    return reps.select(F.greatest("doc_id", "rep").alias("src"), F.least("doc_id", "rep").alias("dst")).where("src <> dst")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those of its least id; rows with a null id all stay.
 
-    Of rows that share an id and stand for a group one stays.
+    Of rows that share such an id and their text, one stays; different texts under one id all stay.
     """
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    again = stored(first.groupBy("_kept").count().where("count > 1").select("_kept"), "repeated-ids")
-    stay = docs.join(first.distinct(), docs[id_col] == F.col("_kept"), "left_semi")
+    kept = fresh(docs, "kept")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept))
+    again = stored(first.groupBy(kept).count().where("count > 1").select(kept), "repeated-ids")
+    stay = docs.join(first.distinct(), docs[id_col] == F.col(kept), "left_semi")
     if not again.isEmpty():
-        stay = stay.dropDuplicates([id_col])
+        twice = stay.join(again, stay[id_col] == F.col(kept), "left_semi").dropDuplicates([id_col, text_col])
+        stay = stay.join(again, stay[id_col] == F.col(kept), "left_anti").unionByName(twice)
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -79,6 +79,11 @@ def test_near_copies_are_verified(spark, texts):
     assert {r.doc_id: r.component_id for r in found.collect()} == got
     twice = docs(spark, ["a b c d e f", "a b c d e f", "x y"], [7, 7, 8])
     assert sorted(r.doc_id for r in simhash.keep_one(twice, simhash.near_duplicates(twice)).collect()) == [7, 8]
+    other = spark.createDataFrame([(7, "a b c d e f", "x"), (7, "other words are under it", "y"), (7, "a b c d e f", "z")], "doc_id long, text string, kept string")
+    for found in (simhash.near_duplicates(other), simhash.near_duplicates(other, shingle=5, min_similarity=0.8)):
+        assert {r.component_id for r in found.collect()} == {7} and found.count() == 3
+        kept = simhash.keep_one(other, found)
+        assert kept.columns == other.columns and sorted(r.text for r in kept.collect()) == ["a b c d e f", "other words are under it"]
 
 
 def test_the_last_row_is_compared(monkeypatch):
@@ -132,21 +137,31 @@ def test_every_pair_at_the_least_similarity_is_found(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(similar_groups(made)))
 
 
-def test_further_tables_find_what_one_misses():
+def test_the_radius_and_the_buckets_hold_similar_sets(spark):
     rng = np.random.default_rng(8)
-    far = [[], []]
+    made = []
     for _ in range(200):
-        a = [b"w%d" % k for k in rng.integers(0, 5000, 300)]
+        a = [f"w{k}" for k in rng.integers(0, 5000, 300)]
         b = list(a)
         for at in rng.choice(300, 6, replace=False):
-            b[at] = b"changed"
-        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (a, b)]
+            b[at] = "changed"
+        made += [" ".join(a), " ".join(b)]
+    got = {r.doc_id: r for r in simhash.sketches(docs(spark, made), 5, 2).collect()}
+    near = met = total = 0
+    for k in range(0, 400, 2):
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (made[k].split(), made[k + 1].split())]
         if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
-            x, y = (np.frombuffer(simhash.fingerprint_bytes(b" ".join(w), 5, 2), ">u8").astype(np.uint64) for w in (a, b))
-            apart = np.bitwise_count(x ^ y)
-            far[0].append(apart[0] <= 12)
-            far[1].append(apart.min() <= 12)
-    assert len(far[0]) > 100 and np.mean(far[1]) > np.mean(far[0]) and np.mean(far[1]) > 0.93
+            total += 1
+            near += sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(got[k].words, got[k + 1].words, strict=True)) <= simhash.radius_at(0.8, 128)
+            met += bool(set(got[k].least) & set(got[k + 1].least))
+    assert total > 100 and near == met == total
+
+
+def test_near_duplicates_of_the_table(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    found = simhash.near_duplicates(spark.createDataFrame(rows), shingle=5, min_similarity=0.8, tables=2).collect()
+    ids = [r.doc_id for r in rows]
+    assert {r.doc_id: r.component_id for r in found} == {i: ids[k] for i, k in zip(ids, similar_groups([re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "") for r in rows]), strict=True)}
 
 
 def test_components(spark):
