@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ def without_labels(labels: Column, names: list[str]) -> Column:
     return F.map_filter(labels, lambda k, v: ~k.isin(*names)) if names else labels
 
 
+def _without(labels: Column, name: Column) -> Column:
+    return F.map_filter(labels, lambda k, v: k != name)
+
+
 def drop_private(labels: Column) -> Column:
     return F.map_filter(labels, lambda k, v: ~k.startswith("__"))
 
@@ -58,12 +65,43 @@ def sanitize_names(labels: Column) -> Column:
     return F.map_from_entries(last)
 
 
+#: The rewriting actions there are.
+ACTIONS = {"replace", "keep", "drop", "keepequal", "dropequal", "lowercase", "uppercase", "hashmod", "labelmap", "labeldrop", "labelkeep"}
+
+
 def _matching(labels: Column, regex: str, hit: bool) -> Column:
     return F.map_filter(labels, lambda k, v: k.rlike(regex) == F.lit(hit))
 
 
 def _renamed(labels: Column, regex: str, to: str) -> Column:
-    return F.transform_keys(labels, lambda k, v: F.regexp_replace(k, regex, to))
+    """Names rewritten in order; of names that meet the last wins."""
+    entries = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.struct(expand(e["key"], regex, to).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def _java(regex: str) -> str:
+    return regex.replace("(?P<", "(?<")
+
+
+def expand(value: Column, regex: str, template: str) -> Column:
+    """``template`` with ``$1``, ``${1}``, ``$name`` and ``${name}`` replaced by the groups of ``regex`` in ``value``.
+
+    An unknown group is empty, ``$$`` is a dollar sign.
+    """
+    groups = re.compile(regex.replace("(?<", "(?P<") if "(?P<" not in regex and re.search(r"\(\?<[a-zA-Z]", regex) else regex)
+    parts, at = [], 0
+    for m in re.finditer(r"\$(?:\$|\{(\w+)\}|(\w+))", template):
+        parts.append(F.lit(template[at : m.start()]))
+        at = m.end()
+        name = m[1] or m[2]
+        if name is None:
+            parts.append(F.lit("$"))
+            continue
+        group = int(name) if name.isdigit() else groups.groupindex.get(name, -1)
+        if 0 <= group <= groups.groups:
+            parts.append(F.regexp_extract(value, _java(regex), group))
+    return F.concat(*parts, F.lit(template[at:]))
 
 
 def relabel(labels: Column, rules: list[dict]) -> tuple[Column, Column]:
@@ -73,16 +111,25 @@ def relabel(labels: Column, rules: list[dict]) -> tuple[Column, Column]:
     ``separator`` (";"), ``regex`` ("(.*)", fully anchored), ``target_label``,
     ``replacement`` ("$1") and ``modulus``.
     """
-    keep = F.lit(True)
+    state = F.struct(labels.alias("labels"), F.lit(True).alias("keep"))
     for rule in rules:
-        action = rule.get("action", "replace").lower()
-        regex = "(?s)^(?:" + rule.get("regex", "(.*)") + ")$"
-        value = F.concat_ws(rule.get("separator", ";"), *[get(labels, n) for n in rule.get("source_labels", [])])
-        target = rule.get("target_label", "")
+        # a bound variable for what came before: its expression stands in the plan once, not once for each use
+        state = F.get(F.transform(F.array(state), _rule(rule)), F.lit(0))
+    return state["labels"], state["keep"]
 
-        def put(name: Column, new: Column, old: Column = labels) -> Column:
-            return merge(old, F.create_map(name, new))
 
+def _rule(rule: dict) -> Callable[[Column], Column]:
+    """The rule as a function of ``struct<labels, keep>``."""
+    action = rule.get("action", "replace").lower()
+    if action not in ACTIONS:
+        raise ValueError(f"unknown action {action!r}")
+    plain, target = rule.get("regex", "(.*)"), rule.get("target_label", "")
+    regex = "(?s)^(?:" + _java(plain) + ")$"
+
+    def run(state: Column) -> Column:
+        labels, keep = state["labels"], state["keep"]
+        value = F.concat_ws(rule.get("separator", ";"), *[get(labels, n) for n in rule.get("source_labels", [])])
+        put = lambda name, new: merge(labels, F.create_map(name, new))
         if action in ("keep", "drop"):
             hit = value.rlike(regex)
             keep = keep & (hit if action == "keep" else ~hit)
@@ -95,15 +142,13 @@ def relabel(labels: Column, rules: list[dict]) -> tuple[Column, Column]:
             tail = F.conv(F.right(F.md5(value), F.lit(16)), 16, 10).cast("decimal(20,0)")
             labels = put(F.lit(target), (tail % F.lit(rule["modulus"])).cast("bigint").cast("string"))
         elif action == "replace":
-            new = F.regexp_replace(value, regex, rule.get("replacement", "$1"))
-            hit = value.rlike(regex)
-            labels = F.when(hit & (new != ""), put(F.lit(target), new)).when(hit, without_labels(labels, [target])).otherwise(labels)
+            new, name = expand(value, regex, rule.get("replacement", "$1")), expand(value, regex, target)
+            hit = value.rlike(regex) & name.rlike("^[a-zA-Z_][a-zA-Z0-9_.]*$")
+            labels = F.when(hit & (new != ""), put(name, new)).when(hit, _without(labels, name)).otherwise(labels)
         elif action == "labelmap":
             labels = merge(labels, _renamed(_matching(labels, regex, True), regex, rule.get("replacement", "$1")))
-        elif action == "labeldrop":
-            labels = _matching(labels, regex, False)
-        elif action == "labelkeep":
-            labels = _matching(labels, regex, True)
         else:
-            raise ValueError(f"unknown action {action!r}")
-    return labels, keep
+            labels = _matching(labels, regex, action == "labelkeep")
+        return F.struct(labels.alias("labels"), keep.alias("keep"))
+
+    return run

@@ -32,6 +32,14 @@ def parse(text: str) -> list[tuple[str, str, str]]:
     return found
 
 
+def _matches_empty(pattern: str) -> bool:
+    """Whether the empty string matches, true also where that cannot be told."""
+    try:
+        return re.fullmatch(pattern, "") is not None
+    except re.error:
+        return True
+
+
 def predicate(matchers: list[tuple[str, str, str]], columns: dict[str, Column] | None = None, labels: Column | None = None) -> Column:
     """All matchers hold. Labels with a column of their own use it, so that the filter reaches the scan.
 
@@ -40,9 +48,11 @@ def predicate(matchers: list[tuple[str, str, str]], columns: dict[str, Column] |
     """
     out = F.lit(True)
     for name, op, value in matchers:
-        at = F.coalesce(columns[name], F.lit("")) if columns and name in columns else get(labels, name)
-        if columns and name in columns and value:
-            at = columns[name] if op in ("=", "=~") else at
+        if columns and name in columns:
+            bare = op == "=" and value != "" or op == "=~" and not _matches_empty(value)
+            at = columns[name] if bare else F.coalesce(columns[name], F.lit(""))
+        else:
+            at = get(labels, name)
         if op in ("=", "!="):
             hit = at == value
         elif re.fullmatch(r"[\w\-/ ]+(\|[\w\-/ ]+)*", value):

@@ -68,22 +68,15 @@ def decode(names: list[str], levels: list[list[int]]) -> list[tuple[list[str], i
     """(frames, own value) of each bar of a one-sided flame graph that has one."""
     out, above = [], []
     for depth, level in enumerate(levels):
-        bars, x = [], 0
+        bars, x, at = [], 0, 0
         for k in range(0, len(level), 4):
             x += level[k]
-            path = next((p for a, b, p in above if a <= x < b), [])
+            while at < len(above) and above[at][1] <= x:  # bars of both levels lie in order
+                at += 1
+            path = above[at][2] if at < len(above) and above[at][0] <= x else []
             bars.append((x, x + level[k + 1], [*path, names[level[k + 3]]] if depth else []))
             if level[k + 2] and depth:
                 out.append((bars[-1][2], level[k + 2]))
             x += level[k + 1]
         above = bars
     return out
-
-
-def dot(nodes: list, edges: list) -> str:
-    """Graphviz text of a call graph's collected, trimmed nodes and edges."""
-    ids = {n["name"]: f"N{i}" for i, n in enumerate(sorted(nodes, key=lambda n: (-n["cum"], n["name"])))}
-    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    out = ["digraph {"] + [f"  {ids[n['name']]} [label={quote(n['name'])} flat={n['flat']} cum={n['cum']}]" for n in sorted(nodes, key=lambda n: ids[n["name"]])]
-    out += [f"  {ids[e['caller']]} -> {ids[e['callee']]} [weight={e['weight']}]" for e in edges if e["caller"] in ids and e["callee"] in ids]
-    return "\n".join([*out, "}"])

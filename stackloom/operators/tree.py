@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 OTHER = "other"
 
 
@@ -25,11 +27,24 @@ def _named(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", F.element_at("path", -1).alias("name"), F.size("path").alias("depth"), "self", "total")
 
 
+def _key(frames: Column, *names: str) -> list[Column]:
+    """128 bits of a stack, as two longs: XXH64 under two unrelated seeds."""
+    return [F.xxhash64(frames).alias(names[0]), F.xxhash64(F.lit(1), frames).alias(names[1])]
+
+
 def tree(samples: DataFrame) -> DataFrame:
-    """The prefix tree of ``(frames, value)``: every prefix gets the total, the whole stack also the own value."""
-    rows = sum_stacks(samples).select("frames", "value", F.explode(prefixes(F.col("frames"))).alias("path"))
-    own = F.when(F.size("path") == F.size("frames"), F.col("value")).otherwise(0)
-    return _named(rows.select("path", own.alias("s"), "value").groupBy("path").agg(F.sum("s").alias("self"), F.sum("value").alias("total")))
+    """The prefix tree of ``(frames, value)``: every prefix gets the total, the whole stack also the own value.
+
+    Prefixes are summed by their 128-bit hash, so that a stack's rows do not grow with the
+    square of its depth; each node's path is then cut from one of its stacks.
+    """
+    stacks_ = cut(sum_stacks(samples).select("frames", "value", *_key(F.col("frames"), "s1", "s2")))
+    keys = F.transform(F.sequence(F.lit(1), F.size("frames")), lambda i: F.struct(i.alias("depth"), *_key(F.slice("frames", F.lit(1), i), "h1", "h2")))
+    rows = stacks_.select("value", "s1", "s2", F.size("frames").alias("d"), F.inline(keys))
+    own = F.when(F.col("depth") == F.col("d"), F.col("value")).otherwise(0)
+    nodes = rows.groupBy("h1", "h2").agg(F.first("depth").alias("depth"), F.sum(own).alias("self"), F.sum("value").alias("total"), F.min(F.struct("s1", "s2")).alias("s"))
+    whole = nodes.select("depth", "self", "total", "s.s1", "s.s2").join(stacks_.select("s1", "s2", "frames"), ["s1", "s2"])
+    return _named(whole.select(F.slice("frames", F.lit(1), F.col("depth")).alias("path"), "self", "total"))
 
 
 def merge(*trees: DataFrame) -> DataFrame:
@@ -60,25 +75,22 @@ def truncate(nodes: DataFrame, max_nodes: int, values: tuple[str, ...] = ("self"
     """Keep nodes of at least the ``max_nodes``-th total, and ``other`` nodes below kept ones.
 
     Dropped children of a node are added up in its child ``other``. Ties may keep
-    more than ``max_nodes``. The threshold is global and exact.
+    more than ``max_nodes``. The threshold is global and exact. The nodes are computed
+    once; one join with the kept ones tells which dropped nodes hang below them.
     """
-    rank = by if by is not None else F.col("total")
-    nodes = nodes.withColumn("_by", rank)
-    low = F.broadcast(min_value(nodes, max_nodes, "_by"))  # one row
-    marked = nodes.crossJoin(low).withColumn("_big", F.col("_by") >= F.col("low"))
+    nodes = cut(nodes.withColumn("_by", by if by is not None else F.col("total")))
+    low = min_value(nodes, max_nodes, "_by").first()["low"]
+    big, small = nodes.where(F.col("_by") >= low), nodes.where(F.col("_by") < low)
     # an "other" node is kept with its nearest ancestor that is not one
-    marked = marked.withColumn("_base", F.when(F.col("_big"), F.col("path")).otherwise(_without_trailing_other(F.col("path"))))
-    big = marked.where("_big").select(F.col("path").alias("_base"), F.lit(True).alias("_stays"))
-    base = marked.join(big, "_base", "left")
-    stays = F.coalesce("_stays", F.lit(False)) & (F.col("_big") | (F.col("name") == OTHER)) | ((F.size("_base") == 0) & (F.col("name") == OTHER))
-    base = base.withColumn("_keep", stays)
-    up = F.slice("path", F.lit(1), F.size("path") - 1)
+    others = small.where(F.col("name") == OTHER).withColumn("_base", _without_trailing_other(F.col("path")))
+    bases = big.select(F.col("path").alias("_base"))
+    with_base = others.join(bases, "_base", "left_semi").unionByName(others.where(F.size("_base") == 0))
+    kept = big.select("path", *values).unionByName(with_base.select("path", *values))
     totals = [c for c in values if c.startswith("total")]
-    kept = base.where("_keep").select("path", *values)
-    parent = kept.select(F.col("path").alias("_up"))
-    gone = base.where(~F.col("_keep")).withColumn("_up", up)
-    folded = gone.join(parent, "_up", "left_semi").unionByName(gone.where(F.size("_up") == 0))
-    folded = folded.groupBy("_up").agg(*[F.sum(c).alias(c) for c in totals])
+    gone = small.where(F.col("name") != OTHER).unionByName(others.where(F.size("_base") > 0).join(bases, "_base", "left_anti").drop("_base"))
+    gone = gone.withColumn("_up", F.slice("path", F.lit(1), F.size("path") - 1))
+    parent = kept.select(F.col("path").alias("_up")).unionByName(kept.sparkSession.range(1).select(F.array().cast("array<string>").alias("_up")))
+    folded = gone.join(parent, "_up", "left_semi").groupBy("_up").agg(*[F.sum(c).alias(c) for c in totals])
     other = folded.select(F.concat("_up", F.array(F.lit(OTHER))).alias("path"), *[F.col(c.replace("self", "total")).alias(c) for c in values])
     out = kept.unionByName(other).groupBy("path").agg(*[F.sum(c).alias(c) for c in values])
     return out.select("path", F.element_at("path", -1).alias("name"), F.size("path").alias("depth"), *values)
@@ -105,7 +117,7 @@ def diff(left: DataFrame, right: DataFrame, max_nodes: int | None = None) -> Dat
 
 def subtract(newer: DataFrame, older: DataFrame) -> DataFrame:
     """Newer minus older per node; a node whose total has not grown goes, and all below it."""
-    both = diff(older, newer)
+    both = cut(diff(older, newer))
     left = lambda c: F.greatest(F.col(f"{c}_right") - F.col(f"{c}_left"), F.lit(0)).alias(c)
     grown = both.where("total_right > total_left").select("path", "name", "depth", left("self"), left("total"))
     above = grown.select("path", "depth", F.explode(prefixes(F.col("path"))).alias("up"))
@@ -174,13 +186,29 @@ def call_graph(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_addresses(addresses: DataFrame, symbols: DataFrame, page: int = 1 << 12) -> DataFrame:
-    """``addresses(binary, address)`` with the symbol whose ``[va, va + len)`` holds it, else ``binary!0xaddr``.
+    """``(binary, address, names)``: the symbols whose ``[va, va + len)`` hold an address, innermost first, else ``binary!0xaddr``.
 
+    ``symbols(binary, va, len, name, depth)``: functions have depth 0, what is inlined into them more
+    (no column: all 0). Ranges are taken from the last start back to the first function that holds the address;
+    of equal starts the deeper, then the shorter one is the inner. Repeated addresses come out once.
     A range join by pages: symbols are listed under each page they touch.
     """
     pages = F.explode(F.sequence(F.floor(F.col("va") / page), F.floor((F.col("va") + F.col("len") - 1) / page)))
-    listed = symbols.where("len > 0").select("binary", "va", "len", F.col("name").alias("symbol"), pages.alias("page"))
+    depth = F.col("depth") if "depth" in symbols.columns else F.lit(0)
+    listed = symbols.where("len > 0").select("binary", "va", "len", depth.alias("depth"), F.col("name").alias("symbol"), pages.alias("page"))
     asked = addresses.withColumn("page", F.floor(F.col("address") / page))
     on = [asked.binary == listed.binary, asked.page == listed.page, F.col("address") >= F.col("va"), F.col("address") < F.col("va") + F.col("len")]
-    fallback = F.concat(asked.binary, F.lit("!0x"), F.lower(F.hex("address")))
-    return asked.join(listed, on, "left").select(asked.binary, "address", F.coalesce("symbol", fallback).alias("name"))
+    fallback = F.array(F.concat(F.col("binary"), F.lit("!0x"), F.lower(F.hex("address"))))
+    held = F.when(F.col("symbol").isNotNull(), F.struct((-F.col("va")).alias("start"), (-F.col("depth")).alias("deep"), "len", "symbol"))
+    chain = asked.join(listed, on, "left").select(asked.binary, "address", held.alias("s")).groupBy("binary", "address").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    outer = F.array_position(F.transform("s.deep", lambda d: d == 0), F.lit(True)).cast("int")
+    inside = F.slice(F.col("s.symbol"), F.lit(1), F.when(outer > 0, outer).otherwise(F.size("s")))
+    return chain.select("binary", "address", F.when(F.size("s") > 0, inside).otherwise(fallback).alias("names"))
+
+
+def check_unresolved(addresses: DataFrame, limit: int) -> DataFrame:
+    """The distinct addresses, if they are ``limit`` at most (0: any number); else an error."""
+    found = addresses.select("binary", "address").distinct()
+    if limit and found.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} unresolved addresses")
+    return found

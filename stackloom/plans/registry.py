@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.selector import select
 from ..operators import maintain, profiles, series, tree
-from ..sources.tables import EVENTS_SQL, ORDERS_SQL, event_profiles, order_samples
+from ..sources.tables import EVENTS_SQL, ORDERS_SQL, USERS, event_profiles, order_samples
 
 #: A range of 30 days less an hour: not a multiple of the step.
 START, END, STEP = 1704067200000, 1706655600000, 21_600_000
@@ -34,6 +34,11 @@ def _flat(nodes: DataFrame, *values: str) -> DataFrame:
     return nodes.select(F.concat_ws(";", "path").alias("path"), F.col("depth").cast("int").alias("depth"), *[F.col(v).cast("bigint").alias(v) for v in values or ("self", "total")])
 
 
+def _text(labels):
+    """A label map as one string, in order of names."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
 def _columns() -> dict:
     """The label columns that selectors use in place of the map."""
     return {"service_name": F.col("service_name"), "user": F.col("user")}
@@ -76,9 +81,9 @@ def tree_merge(spark, d):
     return _flat(tree.merge(tree.tree(s.where("status = 'F'")), tree.tree(s.where("status <> 'F'"))))
 
 
-@_query(f"""{ORDERS_SQL}, a AS (SELECT [frames[1], frames[2], lower(frames[3])] AS frames, value FROM s), {TREE_SQL.format(src='a')} SELECT path, depth, self, total FROM t""")
+@_query(f"""{ORDERS_SQL}, a AS (SELECT [frames[1], frames[2], lower(frames[3]), frames[4], frames[5]] AS frames, value FROM s), {TREE_SQL.format(src='a')} SELECT path, depth, self, total FROM t""")
 def tree_renamed(spark, d):
-    s = order_samples(spark, d).withColumn("frames", F.slice("frames", 1, 3))
+    s = order_samples(spark, d)
     return _flat(tree.tree(tree.rename(s, lambda x: F.when(F.upper(x).isin("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), F.lower(x)).otherwise(x))))
 
 
@@ -144,7 +149,20 @@ def series_top(spark, d):
 @_query(f"""{EVENTS_SQL}, {BUCKET_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY service_name, ts ORDER BY total DESC, profile_id) AS n, sum(total) OVER (PARTITION BY service_name, ts) AS value FROM b)
   SELECT service_name, ts, CAST(value AS BIGINT) AS value, profile_id AS exemplar_id, ts_ms AS exemplar_ts, total AS exemplar_value FROM r WHERE n = 1""")
 def series_exemplars(spark, d):
-    return series.exemplars(event_profiles(spark, d), ["service_name"], START, END, STEP)
+    return series.exemplars(event_profiles(spark, d), ["service_name"], START, END, STEP).drop("exemplar_labels")
+
+
+@_query(f"""e AS (SELECT user_id AS profile_id, epoch_us(ts)//1000 // {DAY} * {DAY} AS ts_ms, event_type, CAST(user_id % {USERS} AS VARCHAR) AS u, CAST(floor(value * 100) AS BIGINT) AS total FROM events WHERE epoch_us(ts)//1000 // {DAY} * {DAY} BETWEEN {START - STEP} AND {START + (END - START) // STEP * STEP}),
+  q AS (SELECT u, ts_ms, profile_id, sum(total) AS total, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS service FROM e GROUP BY ALL),
+  b AS (SELECT *, {START} + CAST(greatest(0, ceil((ts_ms - {START})::DOUBLE / {STEP})) AS BIGINT) * {STEP} AS ts FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY u, ts ORDER BY total DESC, profile_id) AS n FROM b)
+  SELECT u AS "user", ts, profile_id AS exemplar_id, CAST(total AS BIGINT) AS exemplar_value, service AS exemplar_service FROM r WHERE n = 1""")
+def series_exemplars_merged(spark, d):
+    """Profiles with rows of several services: their values are summed, labels that differ go."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = event_profiles(spark, d).join(e.select(F.col("event_id").alias("profile_id"), "user_id"), "profile_id")
+    rows = rows.select(F.col("user_id").alias("profile_id"), (F.floor(F.col("ts_ms") / DAY) * DAY).cast("long").alias("ts_ms"), "user", "labels", "total")
+    found = series.exemplars(rows, ["user"], START, END, STEP)
+    return found.select("user", "ts", "exemplar_id", "exemplar_value", F.try_element_at("exemplar_labels", F.lit("service_name")).alias("exemplar_service"))
 
 
 @_query(f"""{EVENTS_SQL}, g AS (SELECT unnest(range({START}, {END} // {STEP} * {STEP}, {STEP})) AS ts), v AS (SELECT ts_ms // {STEP} * {STEP} AS ts, sum(total) AS value FROM p GROUP BY 1)
@@ -165,6 +183,15 @@ def heatmap_individual(spark, d):
     return series.heatmap(event_profiles(spark, d), ["service_name"], START, END, STEP)
 
 
+@_query(f"""{EVENTS_SQL}, m AS ({{heat}}), e AS (SELECT list_transform(range(0, 20), lambda i: lo + CAST(floor(i * (hi - lo)::DOUBLE / 20) AS BIGINT)) AS y_min FROM (SELECT min(total) AS lo, CASE WHEN max(total) = min(total) THEN min(total) + 1 ELSE max(total) END AS hi FROM p WHERE ts_ms BETWEEN {START - STEP} AND {END}))
+  SELECT service_name, ts, array_to_string(any_value(e.y_min), ',') AS y_min, array_to_string(list_transform(range(0, 20), lambda y: coalesce(list_extract(list(m.count ORDER BY m.y), list_position(list(m.y ORDER BY m.y), y)), 0)), ',') AS counts,
+  array_to_string(list(m.best ORDER BY m.y), ',') AS exemplars FROM m, e GROUP BY service_name, ts""".replace("{heat}", "WITH " + _HEAT_SQL.format(src="p").replace("any_value(edges[y + 1]) AS y_min", "arg_min(profile_id, (-total, ts_ms, profile_id)) AS best")))
+def heatmap_slots(spark, d):
+    out = series.heatmap_slots(event_profiles(spark, d), ["service_name"], START, END, STEP)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("service_name", "ts", text("y_min").alias("y_min"), text("counts").alias("counts"), text("exemplars.profile_id").alias("exemplars"))
+
+
 @_query(f"{EVENTS_SQL}, q AS (SELECT service_name, ts_ms, span, CAST(sum(total) AS BIGINT) AS total FROM p WHERE span IS NOT NULL GROUP BY ALL), {_HEAT_SQL.format(src='q')}")
 def heatmap_span(spark, d):
     return series.heatmap(series.span_points(event_profiles(spark, d), ["service_name"]), ["service_name"], START, END, STEP)
@@ -176,7 +203,7 @@ def selector(spark, d):
     return event_profiles(spark, d).where(hit).groupBy("service_name").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
 
 
-@_query("x AS (SELECT unnest(['service_name', 'user']) AS name) SELECT name FROM x")
+@_query(f"""{EVENTS_SQL}, m AS (SELECT map(['service_name', 'user'], [service_name, "user"]) AS l FROM p) SELECT DISTINCT unnest(map_keys(l)) AS name FROM m""")
 def label_names(spark, d):
     return series.label_names(event_profiles(spark, d))
 
@@ -207,9 +234,9 @@ def dedup(spark, d):
     return maintain.dedup(rows, ["service_name", "user", "day"], ["ts_ms", "profile_id"]).select("profile_id", "service_name", "user", "ts_ms", "total")
 
 
-@_query(f"""{ORDERS_SQL} SELECT status, ts_ms // {30 * DAY} * {30 * DAY} AS ts_ms, array_to_string(frames[1:2], ';') AS path, CAST(sum(value) AS BIGINT) AS value FROM s GROUP BY ALL""")
+@_query(f"""{ORDERS_SQL} SELECT status, ts_ms // {30 * DAY} * {30 * DAY} AS ts_ms, array_to_string(frames, ';') AS path, CAST(sum(value) AS BIGINT) AS value FROM s GROUP BY ALL""")
 def downsample(spark, d):
-    s = order_samples(spark, d).withColumn("frames", F.slice("frames", 1, 2))
+    s = order_samples(spark, d)
     return maintain.downsample(s, ["status"], 30 * 86_400).select("status", "ts_ms", F.concat_ws(";", "frames").alias("path"), "value")
 
 
@@ -241,12 +268,16 @@ def relabel(spark, d):
     return rows.groupBy(F.col("l.service").alias("service"), F.col("l.shard").cast("bigint").alias("shard")).agg(F.count("*").alias("n"))
 
 
-@_query(f"""{ORDERS_SQL}, a AS (SELECT DISTINCT l_partkey % 1000 * 37 AS address FROM lineitem), y AS (SELECT p_partkey * 64 AS va, 40 AS len, p_name || '#' || p_partkey AS nm FROM part WHERE p_partkey <= 500)
-  SELECT 'bin' AS "binary", CAST(address AS BIGINT) AS address, coalesce(nm, 'bin!0x' || lower(to_hex(address))) AS name FROM a LEFT JOIN y ON address >= va AND address < va + len""")
+@_query("""a AS (SELECT DISTINCT l_partkey * 37 AS address FROM lineitem), y AS (SELECT p_partkey * 64 AS va, 40 AS len, 0 AS depth, p_name || '#' || p_partkey AS nm FROM part
+    UNION ALL SELECT p_partkey * 64 + 8, 16, 1, 'in#' || p_partkey FROM part WHERE p_size > 25)
+  SELECT 'bin' AS "binary", CAST(address AS BIGINT) AS address, coalesce(string_agg(nm, ';' ORDER BY depth DESC), 'bin!0x' || lower(to_hex(address))) AS names FROM a LEFT JOIN y ON address >= va AND address < va + len GROUP BY address""")
 def symbolize(spark, d):
-    asked = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit("bin").alias("binary"), (F.col("l_partkey") % 1000 * 37).alias("address")).distinct()
-    known = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 500").select(F.lit("bin").alias("binary"), (F.col("p_partkey") * 64).alias("va"), F.lit(40).alias("len"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"))
-    return tree.resolve_addresses(asked, known)
+    asked = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit("bin").alias("binary"), (F.col("l_partkey") * 37).alias("address")).distinct()
+    part = spark.read.parquet(f"{d}/part.parquet")
+    key = F.col("p_partkey")
+    outer = part.select(F.lit("bin").alias("binary"), (key * 64).alias("va"), F.lit(40).alias("len"), F.concat("p_name", F.lit("#"), key.cast("string")).alias("name"), F.lit(0).alias("depth"))
+    inner = part.where("p_size > 25").select(F.lit("bin").alias("binary"), (key * 64 + 8).alias("va"), F.lit(16).alias("len"), F.concat(F.lit("in#"), key.cast("string")).alias("name"), F.lit(1).alias("depth"))
+    return tree.resolve_addresses(asked, outer.unionByName(inner)).withColumn("names", F.array_join("names", ";"))
 
 
 @_query(f"""{ORDERS_SQL}, d AS (SELECT array_to_string(frames[1:i], ';') AS path, i AS depth, sum(CASE WHEN status = 'O' THEN value ELSE -value END) AS total, sum(CASE WHEN i < len(frames) THEN 0 WHEN status = 'O' THEN value ELSE -value END) AS self
@@ -334,8 +365,11 @@ def ingestion_window(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import ingest, stored  # noqa: F401  these modules add theirs
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -1,5 +1,8 @@
 """Inline cases of trees, flame graphs, series, heat maps, formats and upkeep."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,23 +20,176 @@ def shown(nodes, *cols):
     return {";".join(r.path): tuple(r[c] for c in cols or ("self", "total")) for r in nodes.collect()}
 
 
-def test_tree(spark):
-    got = shown(tree.tree(samples(spark, "bar;buz;blip 1, bar;buz;blop;blap 2")))
-    assert got == {"bar": (0, 3), "bar;buz": (0, 3), "bar;buz;blip": (1, 1), "bar;buz;blop": (0, 2), "bar;buz;blop;blap": (2, 2)}
-
-
-def test_flame_graph(spark):
-    got = flamegraph.flame_graph(tree.tree(samples(spark, "a;b;e 1, a;c 2, a;c;d 1")))
-    assert got["names"] == ["total", "a", "c", "d", "b", "e"]
-    assert got["levels"] == [[0, 4, 0, 0], [0, 4, 0, 1], [0, 1, 0, 4, 0, 3, 2, 2], [0, 1, 1, 5, 2, 1, 1, 3]]
-    assert (got["total"], got["max_self"]) == (4, 2)
-    assert sorted(flamegraph.decode(got["names"], got["levels"])) == [(["a", "b", "e"], 1), (["a", "c"], 2), (["a", "c", "d"], 1)]
-
-
-def test_truncate(spark):
-    nodes = tree.tree(samples(spark, "foo;bar 1, foo;bar;baz 1, foo;qux 2, fred;zoo 1, fred;other 1"))
-    got = {";".join(r.frames): r.value for r in tree.stacks(tree.truncate(nodes, 4)).collect()}
-    assert got == {"foo;bar": 1, "foo;bar;other": 1, "foo;qux": 2, "fred;other": 2}
+def random_stacks(seed, n=60, names="pqrstu", depth=6):
+    rng = random.Random(seed)
+    return [([rng.choice(names) for _ in range(rng.randint(1, depth))], rng.randint(0, 9)) for _ in range(n)]
+
+
+def table(spark, stacks):
+    return spark.createDataFrame(stacks, "frames array<string>, value long")
+
+
+def brute_tree(stacks):
+    own, total = collections.Counter(), collections.Counter()
+    for frames, value in stacks:
+        if value > 0:
+            own[tuple(frames)] += value
+            for i in range(len(frames)):
+                total[tuple(frames[: i + 1])] += value
+    return {p: (own[p], t) for p, t in total.items()}
+
+
+def paths(nodes, *cols):
+    return {tuple(r.path): tuple(r[c] for c in cols or ("self", "total")) for r in nodes.collect()}
+
+
+def test_tree_against_brute_force(spark):
+    stacks = [*random_stacks(1), ([], 5), (None, 5), (["p"], -3)]
+    assert paths(tree.tree(table(spark, stacks))) == brute_tree([x for x in stacks if x[0]])
+    assert tree.tree(table(spark, [])).count() == 0
+
+
+def test_deep_recursive_stacks(spark):
+    deep = [(["f", "g"] * 500, 3), (["f"] * 1000, 2), (["f", "g"] * 400, 1)]
+    got = paths(tree.tree(table(spark, deep)))
+    assert got == brute_tree(deep) and len(got) == 1999
+    kept = paths(tree.truncate(tree.tree(table(spark, deep)), 5))
+    assert kept[("f",)] == (0, 6) and sum(s for s, _ in kept.values()) == 6
+
+
+@pytest.mark.parametrize("most", [1, 3, 10, 40])
+def test_truncation_against_brute_force(spark, most):
+    stacks = random_stacks(most) + [(["p", "other"], 1), (["p", "q", "other"], 2)]
+    nodes = brute_tree(stacks)
+    by_size = sorted((t for _, t in nodes.values()), reverse=True)
+    low = by_size[most - 1] if len(by_size) > most else 0
+
+    def base(path):
+        while path and path[-1] == "other":
+            path = path[:-1]
+        return path
+
+    kept = {p for p, (_, t) in nodes.items() if t >= low or (p[-1] == "other" and (not base(p) or nodes[base(p)][1] >= low))}
+    want = collections.defaultdict(lambda: (0, 0))
+    want |= {p: nodes[p] for p in kept}
+    for p, (_, t) in nodes.items():
+        if p not in kept and (len(p) == 1 or p[:-1] in kept):
+            at = (*p[:-1], "other")
+            want[at] = (want[at][0] + t, want[at][1] + t)
+    assert paths(tree.truncate(tree.tree(table(spark, stacks)), most)) == dict(want)
+
+
+def bars(fg, sides=1):
+    """The bars of encoded levels: (depth, name, (start, total, own) of each side)."""
+    out, width = set(), 3 * sides + 1
+    for depth, level in enumerate(fg["levels"]):
+        at = [0] * sides
+        for k in range(0, len(level), width):
+            bar = []
+            for side in range(sides):
+                start = at[side] + level[k + 3 * side]
+                bar.append((start, *level[k + 3 * side + 1 : k + 3 * side + 3]))
+                at[side] = start + level[k + 3 * side + 1]
+            out.add((depth, fg["names"][level[k + width - 1]], tuple(bar)))
+    return out
+
+
+def brute_bars(trees):
+    """The same from the nodes of each side: children lie after their parent's own value, in order of their names."""
+    every = sorted({p for t in trees for p in t})
+    at = {(): [0] * len(trees)}
+    out = {(0, "total", tuple((0, sum(v[1] for p, v in t.items() if len(p) == 1), 0) for t in trees))}
+    for path in every:
+        own = [t.get(path, (0, 0)) for t in trees]
+        start = at[path[:-1]]
+        out.add((len(path), path[-1], tuple((s, v[1], v[0]) for s, v in zip(start, own, strict=True))))
+        at[path] = [s + v[0] for s, v in zip(start, own, strict=True)]
+        at[path[:-1]] = [s + v[1] for s, v in zip(start, own, strict=True)]
+    return out
+
+
+def test_flame_graph_against_brute_force(spark):
+    stacks = random_stacks(7, 40)
+    nodes = brute_tree(stacks)
+    fg = flamegraph.flame_graph(tree.tree(table(spark, stacks)))
+    assert fg["names"][0] == "total" and len(set(fg["names"])) == len(fg["names"])
+    got, want = bars(fg), brute_bars([nodes])
+    assert {(d, n, b[0][1:]) for d, n, b in got} == {(d, n, b[0][1:]) for d, n, b in want} and len(got) == len(want)
+    spans = lambda bs, d: sorted((b[0][0], b[0][0] + b[0][1]) for depth, _, b in bs if depth == d)
+    for depth in range(1, len(fg["levels"])):  # bars do not overlap and lie below a bar
+        line = spans(got, depth)
+        assert all(a[1] <= b[0] for a, b in zip(line, line[1:]))
+        assert all(any(s <= a and b <= e for s, e in spans(got, depth - 1)) for a, b in line)
+    assert fg["total"] == sum(v for _, v in stacks) and fg["max_self"] == max(s for s, _ in nodes.values())
+    back = collections.Counter()
+    for frames, value in flamegraph.decode(fg["names"], fg["levels"]):
+        back[tuple(frames)] += value
+    assert dict(back) == {p: s for p, (s, _) in nodes.items() if s}
+
+
+def test_diff_against_brute_force(spark):
+    left, right = random_stacks(3, 30), random_stacks(4, 30, "qrstuvw")
+    a, b = brute_tree(left), brute_tree(right)
+    got = paths(tree.diff(tree.tree(table(spark, left)), tree.tree(table(spark, right))), "self_left", "total_left", "self_right", "total_right")
+    assert got == {p: (*a.get(p, (0, 0)), *b.get(p, (0, 0))) for p in a.keys() | b.keys()}
+    fg = flamegraph.flame_graph_diff(tree.tree(table(spark, left)), tree.tree(table(spark, right)), 4096)
+    sizes = lambda bs: sorted((d, n, *[x[1:] for x in v]) for d, n, v in bs)
+    assert sizes(bars(fg, 2)) == sizes(brute_bars([a, b])) and fg["total"] == sum(v for _, v in left + right)
+    small = tree.diff(tree.tree(table(spark, left)), tree.tree(table(spark, right)), 5)
+    top = small.where("depth = 1").agg(F.sum("total_left"), F.sum("total_right")).first()
+    assert tuple(top) == (sum(v for _, v in left), sum(v for _, v in right)) and small.count() < len(got)
+
+
+@pytest.mark.parametrize("site", ["p", "p;q", "q;r;p", "p;p", "x"])
+def test_call_sites_against_brute_force(spark, site):
+    stacks, want = random_stacks(9, 120, "pqr", 4), site.split(";")
+    inside = [(f, v) for f, v in stacks if f[: len(want)] == want]
+    expected = (sum(v for f, v in inside if f == want), sum(v for _, v in inside), sum(v for f, v in stacks if f[-1] == want[-1]), sum(v for f, v in stacks if want[-1] in f))
+    assert tuple(tree.call_site_values(table(spark, stacks), want).first()) == expected
+
+
+@pytest.mark.parametrize("step", [7, 10, 33])
+def test_series_against_brute_force(spark, step):
+    rng, start, end = random.Random(step), 100, 200
+    rows = [(rng.randint(80, 220), rng.choice("xyz"), rng.randint(1, 9)) for _ in range(200)]
+    rows += [(start - step, "x", 5), (start - step - 1, "x", 5), (start, "x", 1), (end, "y", 2), (end + 1, "y", 2)]
+    last, sums = start + (end - start) // step * step, collections.defaultdict(list)
+    for ts, k, v in rows:
+        if start - step <= ts <= last:
+            sums[k, next(e for e in range(start, last + 1, step) if ts <= e)].append(v)
+    df = spark.createDataFrame(rows, "ts_ms long, k string, total long")
+    assert {(r.k, r.ts): r.value for r in series.series(df, ["k"], start, end, step).collect()} == {k: sum(v) for k, v in sums.items()}
+    assert {(r.k, r.ts): r.value for r in series.series(df, ["k"], start, end, step, "avg").collect()} == {k: sum(v) / len(v) for k, v in sums.items()}
+
+
+def test_grid_times_are_the_next_edge(spark):
+    for start, end, step in ((30, 210, 20), (7, 100, 13), (0, 50, 25)):
+        edges = [start]
+        while edges[-1] < end:
+            edges.append(edges[-1] + step)
+        got = spark.range(0, 250).select("id", series._grid_time(F.col("id"), start, end, step).alias("ts")).collect()
+        assert {r.id: r.ts for r in got} == {i: next((e for e in edges if i <= e), edges[-1]) for i in range(250)}
+
+
+def test_timeline_fills_every_step(spark):
+    points, step = [(12_345, 4), (12_999, 5), (31_000, 6), (60_000, 7)], 5
+    got = series.timeline(spark.createDataFrame(points, "ts_ms long, value long"), 11_111, 58_000, step).orderBy("ts").collect()
+    sums = collections.Counter()
+    for ts, v in points:
+        sums[ts // 5000 * 5000] += v
+    assert [(r.ts, r.value) for r in got] == [(ts, sums[ts]) for ts in range(10_000, 55_000, 5000)]
+
+
+def test_auto_steps():
+    hour = 3_600_000
+    got = [series.auto_step_s(0, ms) for ms in (1000, hour, 7 * 24 * hour, 30 * 24 * hour, 17 * 1500 * 1000, 20 * 1500 * 1000, 700_000 * 1500 * 1000)]
+    assert got == [15, 15, 300, 1800, 15, 20, 604_800]
+
+
+def test_exemplars_sum_rows_and_share_labels(spark):
+    rows = [("a", 5, {"x": "1", "y": "1"}, 3), ("a", 5, {"x": "1", "y": "2"}, 4), ("b", 6, {"x": "1"}, 6), (None, 6, {"x": "1"}, 50)]
+    got = series.exemplars(spark.createDataFrame(rows, "profile_id string, ts_ms long, labels map<string,string>, total long"), [], 0, 10, 10).first()
+    assert (got.value, got.exemplar_id, got.exemplar_value, got.exemplar_labels) == (63, "a", 7, {"x": "1"})
 
 
 def test_truncation_keeps_the_root_total(spark):
@@ -42,22 +198,6 @@ def test_truncation_keeps_the_root_total(spark):
         assert tree.truncate(nodes, k).where("depth = 1").agg(F.sum("total")).first()[0] == 9
 
 
-def test_diff(spark):
-    a, b = tree.tree(samples(spark, "a;b 1, a;c 2")), tree.tree(samples(spark, "a;b 4, a;c 8"))
-    got = flamegraph.flame_graph_diff(a, b, 1024)
-    assert got["names"] == ["total", "a", "c", "b"]
-    assert got["levels"] == [[0, 3, 0, 0, 12, 0, 0], [0, 3, 0, 0, 12, 0, 1], [0, 1, 1, 0, 4, 4, 3, 0, 2, 2, 0, 8, 8, 2]]
-    assert (got["max_self"], got["total"]) == (8, 15)
-    got = flamegraph.flame_graph_diff(a, b, 2)
-    assert (got["names"], got["max_self"], got["total"]) == (["total", "a", "other"], 12, 15)
-
-
-def test_diff_of_other_shapes(spark):
-    got = flamegraph.flame_graph_diff(tree.tree(samples(spark, "a;b 1, a;c 2, a;e 3")), tree.tree(samples(spark, "a;b 4, a;d 8, a;e 12")), 1024)
-    assert got["names"] == ["total", "a", "e", "d", "c", "b"]
-    assert got["levels"][-1] == [0, 1, 1, 0, 4, 4, 5, 0, 2, 2, 0, 0, 0, 4, 0, 0, 0, 0, 8, 8, 3, 0, 3, 3, 0, 12, 12, 2]
-
-
 def test_subtract_prunes_below_what_has_not_grown(spark):
     newer, older = tree.tree(samples(spark, "a;b 5, a;c;d 3, e;f 2")), tree.tree(samples(spark, "a;b 1, a;c;x 4, e 2"))
     assert shown(tree.subtract(newer, older)) == {"a": (0, 3), "a;b": (4, 4)}
@@ -81,32 +221,6 @@ def test_recursion_counts_once_in_the_top_table(spark):
     assert got == {"f": (4, 4), "g": (0, 3)}
 
 
-def test_call_site_values(spark):
-    s = samples(spark, "foo;bar;baz 1, foo;bar 1, foo;baz 1, qux 1, bar 1, bar;foo 1, bar 1, bar;foo 1")
-    want = {"foo": (0, 3, 2, 5), "bar": (2, 4, 3, 6), "foo;bar": (1, 2, 3, 6), "foo;bar;baz": (1, 1, 2, 2), "foo;bar;baz;qux": (0, 0, 1, 1)}
-    for site, values in want.items():
-        assert tuple(tree.call_site_values(s, site.split(";")).first()) == values
-
-
-def test_series_edges(spark):
-    rows = [(1, "bar", 1), (1, "buzz", 1), (2, "bar", 1), (3, "buzz", 1), (3, "buzz", 1), (4, "buzz", 4), (4, "buzz", 4), (4, "bar", 4), (5, "bar", 5)]
-    got = series.series(spark.createDataFrame(rows, "ts_ms long, foo string, total long"), ["foo"], 1, 5, 1).collect()
-    assert {(r.foo, r.ts): r.value for r in got} == {("bar", 1): 1, ("bar", 2): 1, ("bar", 4): 4, ("bar", 5): 5, ("buzz", 1): 1, ("buzz", 3): 2, ("buzz", 4): 8}
-    got = series.series(spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (4, 5)], "ts_ms long, total long"), [], 1, 5, 1, "avg").collect()
-    assert {r.ts: r.value for r in got} == {1: 1.5, 2: 2.5, 3: 4, 4: 5}
-
-
-@pytest.mark.parametrize("case", [(50, 200, 1000, 100, 200), (100, 100, 1000, 100, 100), (150, 100, 1000, 100, 200), (550, 100, 1000, 100, 600), (1001, 100, 1000, 100, 1000), (180, 12, 1000, 200, 212)])
-def test_heatmap_time(spark, case):
-    ts, start, end, step, want = case
-    assert spark.range(1).select(series._grid_time(F.lit(ts), start, end, step)).first()[0] == want
-
-
-def test_timeline(spark):
-    got = series.timeline(spark.createDataFrame([(1692397077190, 99)], "ts_ms long, value long"), 1692397017190, 1692397137190, 10).orderBy("ts").collect()
-    assert (got[0].ts, len(got), [r.value for r in got].index(99)) == (1692397010000, 12, 6)
-
-
 def test_selector(spark):
     df = spark.createDataFrame([(1, {"a": "x"}), (2, {"a": "xy", "b": "1"}), (3, {})], "id int, labels map<string,string>")
     ids = lambda s: sorted(r.id for r in df.where(selector.select(s, labels=F.col("labels"))).collect())
@@ -149,9 +263,20 @@ def test_formats(spark):
     doc = '{"shared":{"frames":[{"name":"a"},{"name":"b"}]},"profiles":[{"type":"sampled","name":"p","unit":"seconds","samples":[[0,1],[0],[0,1]],"weights":[1,2,3]}]}'
     got = formats.parse_speedscope(spark.createDataFrame([(doc,)], "value string")).collect()
     assert {";".join(r.frames): r.value for r in got} == {"a;b": 400, "a": 200}
+    doc = doc.replace('"seconds"', '"milliseconds"').replace("[1,2,3]", "[1.5,2,3.9]")
+    got = formats.parse_speedscope(spark.createDataFrame([(doc,)], "value string")).collect()
+    assert {";".join(r.frames): r.value for r in got} == {"a;b": 400, "a": 200}
+    events = [("O", 0, 1), ("O", 1, 4), ("C", 1, 9.5), ("C", 0, 10)]
+    listed = ",".join(f'{{"type":"{t}","frame":{f},"at":{at}}}' for t, f, at in events)
+    doc = f'{{"shared":{{"frames":[{{"name":"a"}},{{"name":"b"}}]}},"profiles":[{{"type":"evented","name":"p","unit":"seconds","startValue":1,"endValue":10,"events":[{listed}]}}]}}'
+    got = formats.parse_speedscope(spark.createDataFrame([(doc,)], "value string")).collect()
+    assert {";".join(r.frames): r.value for r in got} == {"a": 3, "a;b": 500}  # 3 whole units to an opening frame, 5 to a closing one, none after 9.5
     perf = "java 123 456.7: cycles:\n\t7f01 leaf+0x1 (/lib/x.so)\n\t7f02 mid (/bin/y)"
     assert formats.parse_perf(spark.createDataFrame([(perf,)], "value string")).first().frames == ["java", "mid", "leaf"]
-    assert formats.sniff("x", b"a;b 1\n") == "collapsed" and formats.sniff("x.pb.gz", b"\x1f\x8b") == "pprof"
+    kinds = {("x", b"a;b 1\n"): "collapsed", ("x.pb.gz", b"\x1f\x8b"): "pprof", ("x.txt", b"{}"): "collapsed", ("x", b"{}"): "json", ("x", b"\x0a\x04\x08\x01\x10\x02"): "pprof", ("x.pprof", b""): "pprof"}
+    assert {k: formats.sniff(*k) for k in kinds} == kinds
+    with pytest.raises(ValueError):
+        formats.sniff("x", b"a")
 
 
 def test_times():
