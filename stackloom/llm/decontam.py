@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 
 def words_of(text: str) -> Column:
@@ -75,8 +75,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with their columns as they were."""
-    bad = leaks(docs, items, id_col, **options).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_leaky")), "left_anti")
+    leaky = fresh(docs, "leaky")
+    bad = leaks(docs, items, id_col, **options).select(F.col("doc_id").alias(leaky)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(leaky)), "left_anti")
 
 
 ORACLE = r"""

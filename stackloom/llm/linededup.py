@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, UPPER, scratch, stored, wide_hash
+from .common import BLANK, LOWER, UPPER, fresh, scratch, stored, wide_hash
 
 KEY = ["h1", "h2"]
 
@@ -93,13 +93,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = frequent_keys(docs, text_col, min_docs, min_chars, batches)
     hashes = F.array_distinct(F.transform(lines_of(F.col(text_col)), lambda x: key_hash(line_key(x))))
-    own = docs.select(F.col(id_col).alias("_id"), F.explode(hashes).alias("k")).select("_id", "k.h1", "k.h2")
-    hits = own.join(gone, KEY).groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
-    joined = docs.join(hits.hint("shuffle_hash"), docs[id_col].eqNullSafe(hits["_id"]), "left").drop("_id")
+    own = docs.select(F.col(id_col).alias("id"), F.explode(hashes).alias("k")).select("id", "k.h1", "k.h2")
+    of, held, kept = (fresh(docs, n) for n in ("of", "gone", "kept"))
+    hits = own.join(gone, KEY).groupBy(F.col("id").alias(of)).agg(F.collect_set(F.struct("h1", "h2")).alias(held))
+    joined = docs.join(hits.hint("shuffle_hash"), docs[id_col].eqNullSafe(hits[of]), "left").drop(of)
     lines = lines_of(F.col(text_col))
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), key_hash(line_key(x)))))
-    kept = joined.withColumn("_kept", kept)
-    return kept.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("_kept")).cast("long"), text_col: F.array_join("_kept", "\n")}).drop("_kept", "_gone")
+    stay = F.when(F.col(held).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(held), key_hash(line_key(x)))))
+    out = joined.withColumn(kept, stay).withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(kept)).cast("long"), text_col: F.array_join(kept, "\n")})
+    return out.drop(kept, held)
 
 
 ORACLE = r"""

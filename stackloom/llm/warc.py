@@ -4,27 +4,31 @@ Headers (id, digest, length; no payload) are shuffled by payload digest. Of
 records with equal payloads the one with the largest id stays a response, the
 others become revisits with fresh headers and no payload. Archives are written
 by Spark's text sink: a row is a whole record, the line separator is the
-record's closing CRLF CRLF, so any store that Spark writes to will do.
+record's closing CRLF CRLF, so any store that Spark writes to will do. That sink
+compresses whole files, not single records; files are bounded by bytes instead, and
+a reader unpacks them piece by piece.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, portions, scratch, utf8
+from .common import map_arrow, portions, release, scratch, stored, utf8
 
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
-#: Records in one archive file at most, so that a reader holds a bounded file.
-RECORDS_PER_FILE = 1000
+#: Bytes of an archive file before compression; one longer record makes a file of its own.
+FILE_BYTES = 32 << 20
+#: Bytes that a reader unpacks at once.
+PIECE = 1 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -53,19 +57,50 @@ def record_bytes(rid: int | None, url: str | None, date: str, digest: str, paylo
     return "\r\n".join(head).encode() + CRLF + CRLF + block
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The (headers, block) pairs of an uncompressed archive, in order; header names in lower case."""
-    at, n = 0, len(data)
-    while at < n:
-        end = data.index(CRLF + CRLF, at)
-        version, *fields = data[at:end].decode("utf-8", "replace").split("\r\n")
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of gzip members, one after another, in pieces of at most ``PIECE`` bytes."""
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(data, PIECE)
+            data = member.unconsumed_tail
+            if piece:
+                yield piece
+            elif not data and not member.eof:
+                raise ValueError("an archive is cut short")
+        data = member.unused_data
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The (headers, block) pairs of an archive's pieces, in order; header names in lower case.
+
+    Holds one record at a time, and a piece.
+    """
+    source, held = iter(pieces), bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        seen = 0
+        while (end := held.find(CRLF + CRLF, max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not fill(seen + 1):
+                raise ValueError("an archive ends within a record's headers")
+        version, *fields = held[:end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should start")
         head = {k.strip().lower(): v.strip() for k, _, v in (f.partition(":") for f in fields)}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        yield head, data[start:stop]
-        at = stop + 4
+        stop = end + 4 + int(head["content-length"])
+        if not fill(stop + 4):
+            raise ValueError("an archive ends within a record")
+        yield head, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
 
 
 def _page_id(urn: str | None) -> int | None:
@@ -90,8 +125,9 @@ def resolve_revisits(heads: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
     Payloads under ``min_payload_bytes`` never refer; nor do rows with a null id,
     which cannot be referred to either. Rows that share the largest id all stay.
     """
-    last = heads.where(F.col("payload_bytes") >= min_payload_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = heads.join(last, "payload_digest", "left")
+    last = heads.where(F.col("payload_bytes") >= min_payload_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
+    # written, so that both sides of the join are plain shuffles and a digest that many pages share is split
+    joined = heads.join(stored(last.select("payload_digest", "last"), "last-copies"), "payload_digest", "left")
     return joined.withColumn("refers_to", F.when((F.col("last") != F.col("page_id")) & (F.col("payload_bytes") >= min_payload_bytes), F.col("last"))).drop("last")
 
 
@@ -101,38 +137,53 @@ def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = 0, date
     A null url is written as ``urn:x-unknown``, a null id as an empty record id;
     other columns are left out; an empty table writes no record.
     """
-    same = resolve_revisits(headers(pages), min_payload_bytes).where("refers_to is not null").select("page_id", "payload_digest", "refers_to").distinct()
+    heads = stored(headers(pages), "headers")
+    same = resolve_revisits(heads, min_payload_bytes).where("refers_to is not null").select("page_id", "payload_digest", "refers_to").distinct()
     body = pages.select(F.col("page_id").cast("long"), "url", "html")
     moved = same.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("payload_digest", "refers_to"))).alias("moved"))
     joined = body.join(moved.hint("shuffle_hash"), "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = size = 0
         for whole in batches:
             for batch in portions(whole, 2):
-                out = []
+                out, parts = [], []
                 for rid, url, payload, move in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     digest = payload_digest(payload)
                     target = dict(move or ()).get(digest)
-                    out.append(record_bytes(rid, url, date, digest, payload if target is None else None, target))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    record = record_bytes(rid, url, date, digest, payload if target is None else None, target)
+                    if size and size + len(record) > FILE_BYTES:
+                        part, size = part + 1, 0
+                    size += len(record)
+                    out.append(record)
+                    parts.append(part)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int32())], ["value", "part"])
 
-    records = joined.select("page_id", "url", "html", "moved").transform(map_arrow, run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = joined.select("page_id", "url", "html", "moved").transform(map_arrow, run, "value binary, part int").select(F.col("value").cast("string"), "part")
+    records.write.partitionBy("part").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    release(heads)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records under ``path`` as they stand: id, type, url, digest header, own payload's size and digest."""
+    """The records under ``path`` as they stand: id, type, url, digest header, own payload's size and digest.
+
+    Files are unpacked in pieces; a task holds a compressed file, a piece and some records. No file: no record.
+    """
     names = ["page_id", "record_type", "url", "payload_digest", "refers_to", "own_bytes", "own_digest"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     schema = "page_id long, record_type string, url string, payload_digest string, refers_to long, own_bytes long, own_digest string"
     if payloads:
         names, types, schema = [*names, "payload"], [*types, pa.binary()], schema + ", payload binary"
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = []
-                for head, block in parse_records(gzip.decompress(data.as_py())):
+                rows, size = [], 0
+                for head, block in parse_records(unpacked(data.as_py())):
                     body = block[block.index(CRLF + CRLF) + 4 :]
                     response = head["warc-type"] == "response"
                     row = (
@@ -140,16 +191,25 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                         _page_id(head.get("warc-refers-to")), len(body) if response else None, payload_digest(body) if response else None,
                     )
                     rows.append((*row, body if response else None) if payloads else row)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
+                    size += len(body) if payloads else 200
+                    if size > PIECE:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
     return files.select("content").transform(map_arrow, run, schema)
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Per record its full payload's size and digest, revisits taking them from the response they refer to."""
+    """Per record its full payload's size and digest, revisits taking them from the response they refer to.
+
+    The archives behind ``records`` are read once. A revisit whose response is missing has null for both.
+    """
+    records = stored(records.drop("payload"), "records")
     response = records.where("record_type = 'response'")
     full = response.select(F.col("page_id").alias("target"), F.col("own_bytes").alias("full_bytes"), F.col("own_digest").alias("full_digest")).distinct()
+    full = stored(full.join(records.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct(), "target", "left_semi"), "referred")
     revisit = records.where("record_type = 'revisit'")
     found = revisit.join(full, (revisit.refers_to == full.target) & (revisit.payload_digest == full.full_digest), "left")
     pick = lambda size, digest: ["page_id", F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), "record_type", "refers_to"]

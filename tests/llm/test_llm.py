@@ -315,6 +315,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert {i for i in got if got[i].record_type == "revisit"} == {0, 1, 2}
 
 
+def test_warc_query_against_brute_force(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    bodies = ["", "x" * 3000, *("".join(rng.choice(list("ab\r\né"), 40)) for _ in range(20))]
+    rows = [(int(i), f"http://x/{i}", bodies[int(rng.integers(len(bodies)))]) for i in rng.permutation(90)] + [(90, None, None), (5, "http://again", "x" * 3000), (None, "u", "no id")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "PIECE", 64)
+    got = sorted((tuple(r) for r in warc.op6_warc(spark, str(tmp_path)).collect()), key=str)
+    last = {}
+    for i, _, h in rows:
+        if i is not None:
+            last[h or ""] = max(i, last.get(h or "", -1))
+    want = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        refers = last.get(h or "") if i is not None and last[h or ""] != i else None
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if refers is None else "revisit", refers))
+    assert got == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        list(warc.parse_records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"]))
+    with pytest.raises(ValueError):
+        list(warc.parse_records([b"GET / HTTP/1.1\r\n\r\n"]))
+
+
+def test_helper_columns_never_clash(spark):
+    rows = spark.createDataFrame([(i, "menu\nown %d" % i if i < 12 else None, 1, 2, 3, 4, 5) for i in range(13)], "doc_id long, text string, of int, gone int, Kept int, _id int, leaky int")
+    out = linededup.dedup_lines(rows)
+    assert out.columns == [*rows.columns, "n_lines", "n_dropped"]
+    assert [(r.text, r.n_dropped, r["of"], r.gone, r.Kept, r._id) for r in out.where("doc_id = 3").collect()] == [("own 3", 1, 1, 2, 3, 4)]
+    items = spark.createDataFrame([(1, "own 3 menu")], "item_id long, text string")
+    assert decontam.decontaminate(rows, items).columns == rows.columns and decontam.decontaminate(rows, items).count() == 13
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\n\nHow are you?\n"), (1, 1, "assistant", "> How are  you?\nFine, thanks"), (1, 2, "user", "> > how are you?\n> Fine, thanks\nGood."), (1, 3, "user", "> unknown\nx > y"), (1, 4, "user", "> Good.\nyes"), (2, 0, "user", None), (None, 0, "user", "a"), (2, 1, "user", "> Good.\nother talk")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, place string")
@@ -387,6 +420,7 @@ def test_empty_tables(spark, tmp_path):
     ):
         assert out.count() == 0
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.resolved(warc.read_archives(spark, str(tmp_path / "w"))).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
