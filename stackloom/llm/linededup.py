@@ -1,18 +1,22 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps, per line key, in how many documents it was seen: runs of
-``(h1, h2, n)`` sorted by hash, each level holding up to ``fanout`` runs of like
-size; a full level is merged into one run of the next. A new batch is
-anti-joined with the runs first, so what they have settled is not stored again,
-and then becomes a run of its own.
+``(h1, h2, n)``, bucketed and sorted by hash, each level holding fewer than ``fanout`` runs of like
+size; a full level is merged into one run of the next. A new batch is shuffled once, into
+the runs' buckets; there it is merge-joined with every run, none of which moves, so that
+what they have settled is not stored again, and then becomes a run of its own. A
+manifest is written after every change; another session takes the runs up from it.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, UPPER, fresh, scratch, stored, wide_hash
+from .common import BLANK, LOWER, UPPER, fresh, release, scratch, stored, wide_hash
 
 KEY = ["h1", "h2"]
 
@@ -32,41 +36,96 @@ def key_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Counts of line keys in levelled runs under one folder of the shared storage."""
+    """Counts of line keys in levelled, bucketed, sorted runs under one folder of the shared storage.
+
+    A folder that holds runs already is taken up as its last manifest has it.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2, path: str | None = None):
         self.spark, self.fanout, self.path = spark, fanout, path or scratch(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
-        self._made = 0
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        self._made += 1
-        where = f"{self.path}/run-{self._made}"
-        counts.select("h1", "h2", "n").repartition("h1").sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(where)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._tables: dict[str, str] = {}
+        self._made = self._version = 0
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*/_SUCCESS")
+        self._fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        written = sorted(str(s.getPath().getParent().getName()) for s in self._fs.globStatus(where) or [])
+        if written:
+            self._version = int(written[-1].removeprefix("manifest-"))
+            for r in spark.read.schema("level int, run string, buckets int, made int").parquet(f"{self.path}/{written[-1]}").collect():
+                self._put(r.run, r.level)
+                self.buckets, self._made = r.buckets, max(self._made, r.made)
+
+    def _put(self, run: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(where)
+        self.levels[level].append(run)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _write(self, counts: DataFrame) -> str:
+        """A new run of counts that lie in the runs' buckets."""
+        self._made += 1
+        run = f"run-{self._made:06d}"
+        out = counts.select(*KEY, "n").write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        self._tables[run] = f"line_runs_{uuid.uuid4().hex}"
+        out.option("path", f"{self.path}/{run}").option("compression", "zstd").saveAsTable(self._tables[run])
+        return run
+
+    def _commit(self, gone: list[str]) -> None:
+        """The manifest of what there is now; then runs that were merged can go."""
+        rows = [(level, run, self.buckets, self._made) for level, runs in enumerate(self.levels) for run in runs]
+        self._version += 1
+        self.spark.createDataFrame(rows, "level int, run string, buckets int, made int").coalesce(1).write.parquet(f"{self.path}/manifest-{self._version:06d}")
+        for run in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(run)}")
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}"), True)
+
+    def _read(self, run: str) -> DataFrame:
+        if run not in self._tables:
+            self._tables[run] = f"line_runs_{uuid.uuid4().hex}"
+            keys = ", ".join(KEY)
+            self.spark.sql(f"CREATE TABLE {self._tables[run]} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(self._tables[run])
+
+    def close(self) -> None:
+        """Take the runs' tables out of the session's catalog; their files stay."""
+        for table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables = {}
 
     def counts(self) -> DataFrame:
-        """``(h1, h2, n)`` over all runs."""
-        return self._read([p for level in self.levels for p in level]).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        """``(h1, h2, n)`` over all runs; a key is in a run once, so only several runs are shuffled and summed."""
+        return self._summed([run for level in self.levels for run in level])
 
-    def unsettled(self, batch: DataFrame, least: int = 1) -> DataFrame:
-        """Rows of the batch whose key the runs have seen in fewer than ``least`` documents."""
-        return batch.join(self.counts().where(F.col("n") >= least), KEY, "left_anti")
+    def _summed(self, runs: list[str]) -> DataFrame:
+        # read as plain files: Spark 4.1 takes a union of bucketed tables for bucketed, but does not line up their buckets
+        schema = "h1 long, h2 long, n long"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{r}" for r in runs]) if runs else self.spark.createDataFrame([], schema)
+        return rows if len(runs) < 2 else rows.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
-    def add(self, batch: DataFrame) -> None:
-        """Store the batch's counts as a run of level 0 and merge the levels that are full."""
-        self._write(batch.groupBy(*KEY).agg(F.sum("n").alias("n")), 0)
-        level = 0
+    def unsettled(self, batch: DataFrame, least: int = 1) -> DataFrame:
+        """The batch's counts, one row per key, of keys that the runs have seen in fewer than ``least`` documents."""
+        now = batch.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("n").alias("n")).withColumn("seen", F.lit(0).cast("long"))
+        for run in (r for level in self.levels for r in level):
+            now = now.join(self._read(run).hint("merge").withColumnRenamed("n", "more"), KEY, "left").select(*KEY, "n", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("seen"))
+        return now.where(F.col("seen") < least).select(*KEY, "n")
+
+    def add(self, batch: DataFrame, least: int | None = None) -> None:
+        """Store the batch's counts as a run of level 0, without keys seen ``least`` times already, and merge the levels that are full."""
+        self._put(self._write(self.unsettled(batch, 1 << 62 if least is None else least)), 0)
+        gone, level = [], 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._read(full).groupBy(*KEY).agg(F.sum("n").alias("n")), level + 1)
+            self._put(self._write(self._merged(full)), level + 1)
+            gone += full
             level += 1
+        self._commit(gone)
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """Two runs are merged bucket by bucket; of more, all are shuffled."""
+        if len(runs) > 2:
+            return self._summed(runs)
+        a, b = (self._read(r).hint("merge").withColumnRenamed("n", n) for r, n in zip(runs, ("n1", "n2"), strict=True))
+        return a.join(b, KEY, "full").select(*KEY, (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
 
 
 def frequent_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -77,8 +136,11 @@ def frequent_keys(docs: DataFrame, text_col: str = "text", min_docs: int = 10, m
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         new = seen.where(F.col("batch") == b).select("h1", "h2", "n")
-        runs.add(runs.unsettled(new, min_docs))
-    return stored(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
+        runs.add(new, min_docs)
+    found = stored(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
+    runs.close()
+    release(seen)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:

@@ -382,14 +382,24 @@ def test_line_dedup_matches_brute_force(spark):
         assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (len(x), len(x) - len(kept), "\n".join(kept))
 
 
-def test_line_runs(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_line_runs(spark, fanout):
+    runs = linededup.LineRuns(spark, fanout=fanout)
     batch = lambda *k: spark.createDataFrame([(x, 0, 1) for x in k], "h1 long, h2 long, n long")
-    for ks in ((1, 2), (2, 3), (3, 4)):
-        runs.add(runs.unsettled(batch(*ks), 2))
-    assert {r.h1: r.n for r in runs.counts().collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
-    assert [len(x) for x in runs.levels] == [1, 1]
-    assert [r.h1 for r in runs.unsettled(batch(2, 4, 9), 1).collect()] == [9]
+    for ks in ((1, 2), (2, 3), (3, 4, 2)):
+        runs.add(batch(*ks), 2)
+    want = {1: 1, 2: 2, 3: 2, 4: 1}  # 2 was settled when the third batch came, but for runs not merged yet
+    assert {r.h1: r.n for r in runs.counts().collect()} == want
+    assert [len(x) for x in runs.levels] == ([1, 1] if fanout == 2 else [0, 1])
+    runs.close()
+    again = linededup.LineRuns(spark, fanout=fanout, path=runs.path)  # as another session would
+    assert again.levels == runs.levels and {r.h1: r.n for r in again.counts().collect()} == want
+    assert [r.h1 for r in again.unsettled(batch(2, 4, 9, 9), 1).collect()] == [9]
+    plan = again.unsettled(batch(2, 4), 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # the batch moves, the runs do not
+    again.add(batch(5, 5))
+    assert {r.h1: r.n for r in again.counts().collect()} == want | {5: 2}
+    again.close()
 
 
 def test_bpe_is_tiktoken(spark, texts):
