@@ -26,7 +26,7 @@ shares no bucket with probability ``0.2 ** LEAST`` at most. In the buckets the S
 64 bits for each table, are compared with a radius four standard deviations above the
 distance expected at ``t``. A cell proposes ``FORESTS`` forests without common links. Where some
 proved dissimilar, they may have stood for similar pairs: the texts of the components at their ends are
-compared once more, and each proposes the ``NEAREST`` texts of other components.
+compared once more, and each proposes the ``NEAREST`` texts of other, larger components.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ SALT = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of a text where a similarity is asked for, and the forests that a cell then proposes.
 LEAST, FORESTS = 12, 3
 #: Texts of other components that a text proposes in a cell where forests have failed.
-NEAREST = 32
+NEAREST = 16
 #: One text in so many is counted to find the buckets over ``CELL``.
 COUNTED = 16
 
@@ -176,7 +176,7 @@ def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int, forests: int
     Groups lie one after another; ``last`` is, for each row, the end of its group
     (excluded). A fingerprint is one word, or a row of several. Further forests
     are of the links that are left. With ``label``, instead of forests, each row's
-    ``NEAREST`` links to rows of another label. The two arrays hold rows, the smaller one first.
+    ``NEAREST`` links to rows of another label that is not rarer. The two arrays hold rows, the smaller one first.
     """
     fps = fps.reshape(len(fps), -1)
     thin = (lambda a, b: _spanning(fps, a, b, forests)) if label is None else (lambda a, b: _nearest(fps, a, b, label))
@@ -221,13 +221,16 @@ def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forests: int) -> np
 
 
 def _nearest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of the links between labels each is of its row of the rarer label, and of these rows the ``NEAREST`` links stay."""
     apart = label[a] != label[b]
     a, b = a[apart], b[apart]
     distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-    ends, keep = np.concatenate([a, b]), np.zeros(len(a), dtype=bool)
-    order = np.lexsort((np.tile(distance, 2), ends))
+    _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+    size, keep = count[of], np.zeros(len(a), dtype=bool)
+    ends = np.where((size[a] < size[b]) | ((size[a] == size[b]) & (label[a] > label[b])), a, b)
+    order = np.lexsort((distance, ends))
     starts = np.searchsorted(ends[order], ends[order])
-    keep[order[np.arange(len(order)) - starts < NEAREST] % max(1, len(a))] = True
+    keep[order[np.arange(len(order)) - starts < NEAREST]] = True
     return np.stack([a[keep], b[keep]])
 
 
@@ -370,7 +373,7 @@ def _similar_components(sets: DataFrame, more: DataFrame, docs: DataFrame, shing
     has = _shingle_sets(near, docs, shingle)
     good = _verified(near, has, least)
     found = stored(connected_components(good.unionByName(more)), "found")
-    bad = near.join(good, ["src", "dst"], "left_anti")
+    bad = stored(near.join(good, ["src", "dst"], "left_anti"), "rejected")
     ends = bad.select(F.col("src").alias("node")).unionByName(bad.select(F.col("dst").alias("node"))).distinct()
     failed = ends.join(found, "node", "left").select(F.coalesce("component", "node").alias("label")).distinct()
     placed = sets.join(found, sets.rep == found.node, "left").select("rep", "words", "least", F.coalesce("component", "rep").alias("label"))

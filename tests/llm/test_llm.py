@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 import xxhash
@@ -283,6 +284,37 @@ def test_quality_query(spark, texts):
     assert [len(r.x) for r in quality.text_features(docs(spark, texts)).collect()] == [len(quality.FEATURES)] * len(texts)
 
 
+def flipped(spark, tmp_path, table, column, held, to):
+    """The table's folder with every other table as it is, ``column`` changed where ``held`` of the id."""
+    for name in ("documents", "labels"):
+        t = spark.read.parquet(f"{DATA}/{name}.parquet")
+        if name == table:
+            t = t.withColumn(column, F.when(held(F.crc32(F.col("doc_id").cast("string"))), to).otherwise(F.col(column)))
+        t.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_held_out_labels_teach_nothing(spark, tmp_path):
+    other = flipped(spark, tmp_path, "labels", "quality", lambda c: c % 4 == 2, 1 - F.col("quality"))
+    a, b = ({r.doc_id: (r.score, r.predicted, r.held_out) for r in quality.op5_quality_classifier(spark, d).collect()} for d in (DATA, other))
+    assert a == b and all(0 <= s <= 1 and p == (s >= 0.7) for s, p, _ in a.values())
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, (_, _, h) in a.items())
+
+
+def test_held_out_languages_teach_nothing(spark, tmp_path):
+    other = flipped(spark, tmp_path, "documents", "lang", lambda c: c % 3 == 1, F.lit("xx"))
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in langid.op9_language_id(spark, d).collect()} for d in (DATA, other))
+    assert a == b and "xx" not in {x for x, _ in a.values()}
+
+
+def test_odd_texts_have_a_quality(spark, tmp_path):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([None, "", "  ", "a", "word " * 50_000, "\x00", "日本語"] + [f"some words {i} of a text" for i in range(12)])]
+    spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(19)] + [(5, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op5_quality_classifier(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(19), 3]) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_language_query(spark):
     got = {r.doc_id: r for r in langid.op9_language_id(spark, DATA).collect()}
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()
@@ -458,6 +490,19 @@ def test_pipeline_stages(spark):
     lang, line, near, clean, coded = (o.collect() for o in outs)
     assert len(lang) >= 0.98 * len(rows) and len(line) == len(lang)
     assert all(r.n_chars == len(r.text) for r in line)
+    # each stage against brute force on its own input
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    lines = {r.doc_id: (r.text or "").split("\n") for r in lang}
+    seen = collections.Counter(k for x in lines.values() for k in {low(y.strip(BLANK)) for y in x} if k)
+    assert {r.doc_id: r.text for r in line} == {i: "\n".join(y for y in x if seen[low(y.strip(BLANK))] < 10) for i, x in lines.items()}
+    ordered = sorted(line, key=lambda r: r.doc_id)
+    want = similar_groups([low(r.text or "") for r in ordered])
+    assert sorted(r.doc_id for r in near) == sorted({ordered[g].doc_id for g in want})
+    con = duckdb.connect()
+    con.register("documents", now_near := pd.DataFrame([(r.doc_id, r.text) for r in near], columns=["doc_id", "text"]))
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{DATA}/benchmark.parquet'")
+    leaky_ids = {r[0] for r in con.execute(f"SELECT doc_id FROM ({registry.oracle_sql()['op4_decontamination']})").fetchall()}
+    assert {r.doc_id for r in clean} == set(now_near.doc_id) - leaky_ids
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.text.lower().split() for r in near)]
     alike = sum(len(a & b) >= 0.9 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if len(a) > 50)
     assert alike == 0 and len(near) < len(line)
