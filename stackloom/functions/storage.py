@@ -5,6 +5,16 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: Rows that are broadcast at most; more are joined as Spark sees fit.
+SMALL = 10_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows at most, broadcast if these are few."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def parse_time(text: str, now_ms: int) -> int:
     raise ValueError(f"bad time {text!r}")
 
 
+def default_range(start_ms: int, end_ms: int, now_ms: int) -> tuple[int, int]:
+    """The range as it is, or the last hour if an end is missing or it ends before it starts."""
+    return (start_ms, end_ms) if start_ms and end_ms and start_ms <= end_ms else (now_ms - 3_600_000, now_ms)
+
+
 def validate_range(start_ms: int, end_ms: int, max_length_ms: int | None = None) -> tuple[int, int]:
     if not start_ms or not end_ms:
         raise ValueError("a time range needs both ends")

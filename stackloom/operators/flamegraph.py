@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from .tree import diff, truncate
@@ -80,3 +82,27 @@ def decode(names: list[str], levels: list[list[int]]) -> list[tuple[list[str], i
             x += level[k + 1]
         above = bars
     return out
+
+
+def validate(fg: dict, sides: int = 1) -> None:
+    """Raise unless every level is made of whole bars, names exist and values are not negative."""
+    width = 3 * sides + 1
+    if not fg["names"]:
+        raise ValueError("a flame graph has names")
+    for level in fg["levels"]:
+        if len(level) % width:
+            raise ValueError(f"a level is not made of bars of {width} numbers")
+        for k in range(0, len(level), width):
+            if not 0 <= level[k + width - 1] < len(fg["names"]):
+                raise ValueError("a bar has no name")
+            if min(level[k : k + width - 1]) < 0:
+                raise ValueError("a bar has a negative number")
+
+
+def read_json(text: str) -> list[tuple[list[str], int]]:
+    """(frames, own value) of a one-sided flame graph's JSON document, ``{"flamebearer": {"names", "levels"}, "metadata": {"format"}}``."""
+    doc = json.loads(text)
+    if doc.get("metadata", {}).get("format", "single") != "single":
+        raise ValueError("only one-sided flame graphs hold one profile")
+    validate(doc["flamebearer"])
+    return decode(doc["flamebearer"]["names"], doc["flamebearer"]["levels"])

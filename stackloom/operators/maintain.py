@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -12,9 +12,9 @@ LEVELS = [(20, 36), (10, 720), (10, 10_800)]
 
 
 def dedup(rows: DataFrame, keys: list[str], prefer: list[str]) -> DataFrame:
-    """One row per key: the first in the order of ``prefer``."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*prefer))
-    return rows.withColumn("_n", place).where("_n = 1").drop("_n")
+    """One row per key: the first in the order of ``prefer``, nulls first. Each task keeps one row per key before the shuffle."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*prefer))
+    return rows.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(first.alias("_row")).select("_row.*")
 
 
 def downsample(samples: DataFrame, keys: list[str], seconds: int) -> DataFrame:
@@ -33,9 +33,17 @@ def pick_resolution(step_ms: int, available_s: tuple[int, ...] = (300, 3600)) ->
     return max((s for s in available_s if step_ms >= s * 1000 and step_ms % (s * 1000) == 0), default=0)
 
 
-def expired(rows: DataFrame, now_ms: int, days: int = 31) -> DataFrame:
-    """What retention keeps: everything not older than ``days``."""
-    return rows.where(F.col("ts_ms") >= now_ms - days * 86_400_000)
+def retained(rows: DataFrame, now_ms: int, days: int = 31, tenants: dict[str, int] | None = None) -> DataFrame:
+    """What retention keeps: everything not older than ``days``, or than the tenant's own number of days; 0 keeps all."""
+    keep = F.lit(days)
+    for tenant, own in (tenants or {}).items():
+        keep = F.when(F.col("tenant") == tenant, own).otherwise(keep)
+    return rows.where((keep == 0) | (F.col("ts_ms") >= F.lit(now_ms) - keep * F.lit(86_400_000)))
+
+
+def generations(old: DataFrame, new: DataFrame, split_ms: int) -> DataFrame:
+    """One table of two generations of storage: what is older than ``split_ms`` from the old one, the rest from the new one."""
+    return old.where(F.col("ts_ms") < split_ms).unionByName(new.where(F.col("ts_ms") >= split_ms))
 
 
 def normalise_samples(samples: DataFrame, keys: list[str]) -> DataFrame:

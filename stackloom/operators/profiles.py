@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.storage import cut, small
 from . import tree
 
 UNKNOWN = "<unknown>"
@@ -80,7 +81,7 @@ def top_heatmap(cells: DataFrame, by: list[str], limit: int) -> DataFrame:
     if not limit:
         return cells
     best = cells.groupBy(*by).agg(F.sum("count").alias("_n")).orderBy(F.desc("_n"), *by).limit(limit).drop("_n")
-    return cells.join(F.broadcast(best), by, "left_semi")  # ``limit`` rows
+    return cells.join(small(best, limit), by, "left_semi")
 
 
 def trim_call_graph(nodes: DataFrame, edges: DataFrame, total: DataFrame, max_nodes: int, node_share: float = 0.005, edge_share: float = 0.001) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +90,8 @@ def trim_call_graph(nodes: DataFrame, edges: DataFrame, total: DataFrame, max_no
     Ties of cumulative values go by name. Edges need ``edge_share`` of the total.
     """
     whole = F.broadcast(total.select(F.col("value").alias("_all")))  # one row
-    big = nodes.crossJoin(whole).where(F.col("cum") >= node_share * F.col("_all")).drop("_all").orderBy(F.desc("cum"), "name").limit(max_nodes)
-    names = F.broadcast(big.select("name"))  # ``max_nodes`` rows
+    big = cut(nodes.crossJoin(whole).where(F.col("cum") >= node_share * F.col("_all")).drop("_all").orderBy(F.desc("cum"), "name").limit(max_nodes))
+    names = small(big.select("name"), max_nodes)
     strong = edges.crossJoin(whole).where(F.col("weight") >= edge_share * F.col("_all")).drop("_all")
     kept = strong.join(names.withColumnRenamed("name", "caller"), "caller", "left_semi").join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
     return big, kept.select("caller", "callee", "weight")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import small
 from ..functions.times import bucket
 
 ROWS = 20  # value buckets of a heat map
@@ -34,7 +35,7 @@ def top_series(points: DataFrame, by: list[str], limit: int) -> DataFrame:
     if not limit:
         return points
     best = points.groupBy(*by).agg(F.sum("value").alias("_sum")).orderBy(F.desc("_sum"), *by).limit(limit).drop("_sum")
-    return points.join(F.broadcast(best), by, "left_semi")  # ``limit`` rows
+    return points.join(small(best, limit), by, "left_semi")
 
 
 def profile_exemplars(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -125,6 +125,12 @@ def subtract(newer: DataFrame, older: DataFrame) -> DataFrame:
     return grown.join(whole.select("path"), "path", "left_semi").select("path", "name", "depth", "self", "total")
 
 
+def stack_difference(newer: DataFrame, older: DataFrame) -> DataFrame:
+    """``(frames, value)`` of newer samples less those of older ones, stack by stack; what has not grown goes."""
+    a, b = sum_stacks(newer), sum_stacks(older).withColumnRenamed("value", "before")
+    return a.join(b, "frames", "left").select("frames", (F.col("value") - F.coalesce("before", F.lit(0))).alias("value")).where("value > 0")
+
+
 def scale(nodes: DataFrame, multiplier: int, divisor: int = 1) -> DataFrame:
     by = lambda c: F.floor(F.col(c) * multiplier / divisor).cast("bigint").alias(c)
     return nodes.select("path", "name", "depth", by("self"), by("total"))

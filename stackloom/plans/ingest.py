@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import units
 from ..functions.selector import select
-from ..operators import ingest, series
+from ..operators import ingest, maintain, series, tree
 from ..sources.tables import EVENTS_SQL, ORDERS_SQL, event_profiles, order_samples
-from .registry import DAY, _query, _text
+from .registry import DAY, END, START, _query, _text
 
 
 @_query(f"""{EVENTS_SQL}, n AS (SELECT service_name, NULLIF("user", '3') AS u, total FROM p) SELECT service_name, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM n WHERE regexp_full_match(coalesce(u, ''), '(1|2)?') AND coalesce(u, '') <> '1' GROUP BY 1""")
@@ -132,3 +132,22 @@ _query()(delta_by_stack)
 def tenants(spark, d):
     rows = event_profiles(spark, d).select(F.when(F.col("user") != "0", F.concat(F.lit("tenant-"), "user")).otherwise("").alias("tenant"))
     return rows.where("tenant <> ''").distinct()
+
+
+@_query(f"""{ORDERS_SQL}, n AS (SELECT frames, sum(value) AS v FROM s WHERE status = 'O' GROUP BY 1), o AS (SELECT frames, sum(value) AS v FROM s WHERE status = 'F' GROUP BY 1)
+  SELECT array_to_string(n.frames, ';') AS path, CAST(n.v - coalesce(o.v, 0) AS BIGINT) AS value FROM n LEFT JOIN o USING (frames) WHERE n.v > coalesce(o.v, 0)""")
+def stack_difference(spark, d):
+    s = order_samples(spark, d)
+    return tree.stack_difference(s.where("status = 'O'"), s.where("status = 'F'")).select(F.concat_ws(";", "frames").alias("path"), "value")
+
+
+@_query(f"""{EVENTS_SQL} SELECT "user" AS tenant, count(*) AS n FROM p WHERE ts_ms >= {END} - CASE "user" WHEN '1' THEN 3 WHEN '2' THEN 20000 ELSE 10 END * {DAY}::BIGINT GROUP BY 1""")
+def retention(spark, d):
+    rows = event_profiles(spark, d).withColumn("tenant", F.col("user"))
+    return maintain.retained(rows, END, 10, {"1": 3, "2": 0}).groupBy("tenant").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{EVENTS_SQL} SELECT service_name, count(*) AS n FROM p WHERE ts_ms < {START} + 5 * {DAY} AND "user" <> '1' OR ts_ms >= {START} + 5 * {DAY} AND "user" <> '2' GROUP BY 1""")
+def two_generations(spark, d):
+    rows = event_profiles(spark, d)
+    return maintain.generations(rows.where("user <> '1'"), rows.where("user <> '2'"), START + 5 * DAY).groupBy("service_name").agg(F.count("*").alias("n"))

@@ -314,3 +314,17 @@ def test_deltas_per_stack(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_flame_graph_documents(spark):
+    import json
+
+    fg = flamegraph.flame_graph(tree.tree(samples(spark, "a;b 2, c 3")))
+    doc = json.dumps({"flamebearer": fg, "metadata": {"format": "single"}})
+    assert sorted(flamegraph.read_json(doc)) == [(["a", "b"], 2), (["c"], 3)]
+    for wrong in ({"names": [], "levels": []}, {"names": ["a"], "levels": [[0, 1, 1]]}, {"names": ["a"], "levels": [[0, 1, 1, 1]]}, {"names": ["a"], "levels": [[0, -1, 1, 0]]}):
+        with pytest.raises(ValueError):
+            flamegraph.validate(wrong)
+    with pytest.raises(ValueError):
+        flamegraph.read_json(doc.replace("single", "double"))
+    assert times.default_range(0, 5, 7_200_000) == (3_600_000, 7_200_000) and times.default_range(1, 2, 9) == (1, 2)
