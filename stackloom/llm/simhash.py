@@ -221,7 +221,7 @@ def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forests: int) -> np
 
 
 def _nearest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of the links between labels each is of its row of the rarer label, and of these rows the ``NEAREST`` links stay."""
+    """Of the links between labels each is of its row of the rarer label, given first, and of these rows the ``NEAREST`` links stay."""
     apart = label[a] != label[b]
     a, b = a[apart], b[apart]
     distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
@@ -231,7 +231,7 @@ def _nearest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -
     order = np.lexsort((distance, ends))
     starts = np.searchsorted(ends[order], ends[order])
     keep[order[np.arange(len(order)) - starts < NEAREST]] = True
-    return np.stack([a[keep], b[keep]])
+    return np.stack([ends[keep], (a + b - ends)[keep]])
 
 
 def _within(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +294,10 @@ def _compare(radius: int, words: int = 1, forests: int = 1, labelled: bool = Fal
             start = np.concatenate([[0], edge])
             size = np.diff(np.concatenate([start, [end]]))
             a, b = near_in_groups(np.ascontiguousarray(rows[3 : 3 + words].T).view(np.uint64), np.repeat(start + size, size), radius, forests, rows[-1] if labelled else None)
+            if labelled:
+                distance = np.bitwise_count((rows[3 : 3 + words][:, a] ^ rows[3 : 3 + words][:, b]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+                a, b = rows[2][a], rows[2][b]
+                return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(a), pa.array(distance)], ["src", "dst", "own", "distance"])
             pairs = np.unique(np.sort(np.stack([rows[2][a], rows[2][b]]), axis=0), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[1].copy()), pa.array(pairs[0].copy())], ["src", "dst"])
 
@@ -315,7 +319,7 @@ def _in_cells(keyed: DataFrame, hot: DataFrame, radius: int, forests: int = 1) -
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.expr("transform(sequence(0, blocks - 1), c -> least(c, block) * blocks + greatest(c, block))"))
     dealt = keyed.join(hot, "bucket", "left").withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "rep", *columns)
     run = _compare(radius, len(columns) - labelled, forests, labelled)
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, run, "src long, dst long")
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, run, "src long, dst long" + ", own long, distance long" * labelled)
 
 
 def links(groups: DataFrame, radius: int = 4) -> DataFrame:
@@ -341,7 +345,11 @@ def proposals(sets: DataFrame, least: float, tables: int) -> DataFrame:
     # a bucket over CELL has CELL / COUNTED of the counted texts, give or take; one missed or too many changes no result
     few = keyed.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(COUNTED)) == 0).groupBy("bucket").agg((F.count("*") * COUNTED).alias("count"))
     hot = stored(few.where(F.col("count") > CELL // 2).select("bucket", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("blocks")), "hot-buckets")
-    return _in_cells(keyed, hot, radius_at(least, 64 * tables), FORESTS).distinct()
+    found = _in_cells(keyed, hot, radius_at(least, 64 * tables), FORESTS)
+    if label:  # a text proposes as many over all its cells, of which there are a bounded number, as in one
+        nearest = F.slice(F.array_sort(F.collect_set(F.struct("distance", "src", "dst"))), 1, NEAREST)
+        found = found.groupBy("own").agg(nearest.alias("p")).select(F.inline("p")).select("src", "dst")
+    return found.distinct()
 
 
 def _shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
