@@ -158,13 +158,13 @@ def _find_anchors(window: int, gram: int):
 
 
 def _find_segments(window: int, gram: int):
-    """Texts with their known anchors to segments: ``w`` hashes the segment's windows, the first of which starts at word ``start``."""
+    """Texts with their known anchors, and those of them that are hot, to segments: ``w`` hashes the segment's windows, the first of which starts at word ``start``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, 2):
-                rows, anchor, start, sizes, w = ([np.zeros(0, dtype=np.int64)] for _ in range(5))
-                for row, (text, known) in enumerate(zip(utf8(batch.column(2)), batch.column(3), strict=True)):
+                rows, anchor, start, sizes, w, hot = ([np.zeros(0, dtype=np.int64)] for _ in range(6))
+                for row, (text, known, many) in enumerate(zip(utf8(batch.column(2)), batch.column(3), batch.column(4), strict=True)):
                     hashes = word_hashes(text.split())
                     place, h = anchors(hashes, window, gram)
                     hit = np.flatnonzero(np.isin(h.view(np.int64), known.values.to_numpy()))
@@ -174,10 +174,11 @@ def _find_segments(window: int, gram: int):
                     start.append(hit[first])
                     sizes.append(np.diff(np.append(first, len(hit))))
                     w.append(rolling(hashes, window)[hit].view(np.int64))
+                    hot.append(np.isin(anchor[-1], many.values.to_numpy()))
                 edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
                 rows = pa.array(np.concatenate(rows))
                 windows = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(w)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(anchor)), pa.array(np.concatenate(start), pa.int32()), windows], ["t1", "t2", "h", "start", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(anchor)), pa.array(np.concatenate(start), pa.int32()), windows, pa.array(np.concatenate(hot).astype(bool))], ["t1", "t2", "h", "start", "w", "hot"])
 
     return run
 
@@ -248,17 +249,17 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     folded = stored(seen.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("pick"), F.first("anchors").alias("anchors")), "texts")
     rep = folded.select("t1", "t2", F.explode("anchors").alias("h"))
     twice = stored(rep.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    hits = stored(rep.join(twice, "h").groupBy(*TEXT_KEY).agg(F.collect_set("h").alias("known")).join(folded.select("t1", "t2", "pick"), TEXT_KEY), "anchor-hits")
+    hits = stored(rep.join(twice, "h").groupBy(*TEXT_KEY).agg(F.collect_set("h").alias("known"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot")).join(folded.select("t1", "t2", "pick"), TEXT_KEY), "anchor-hits")
     mine = keyed.join(hits.hint("shuffle_hash"), TEXT_KEY).where(F.col("doc_id").eqNullSafe(F.col("pick")))
-    segments = stored(mine.select("t1", "t2", "text", "known").transform(map_arrow, _find_segments(window, gram), "t1 long, t2 long, h long, start int, w array<long>"), "segments")
+    segments = stored(mine.select("t1", "t2", "text", "known", "hot").transform(map_arrow, _find_segments(window, gram), "t1 long, t2 long, h long, start int, w array<long>, hot boolean"), "segments")
     texts = stored(folded.select("t1", "t2", "copies"), "copies")
-    release(folded, hits)
+    release(folded, hits, twice)
 
-    hot = twice.where(F.col("n") > HOT).select("h")
-    dealt = segments.select("h", "t1", "t2", "start", "w").join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+    # dealt straight from the stored table: after a join by h Spark takes this repartition for a repeat, drops it, and may then read the join's shuffle in other pieces than whole anchors
+    dealt = segments.where("not hot").select("h", "t1", "t2", "start", "w").repartition("h").sortWithinPartitions("h")
     found = dealt.transform(map_arrow, _parse_blocks(window), FACTOR)
-    out = stored(found.unionByName(_counted(segments.join(hot, "h", "left_semi"), window)), "factors")
-    release(segments, twice)
+    out = stored(found.unionByName(_counted(segments.where("hot"), window)), "factors")
+    release(segments)
     return texts, out
 
 

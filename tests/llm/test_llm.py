@@ -217,6 +217,28 @@ def test_substring_matches_brute_force(spark, texts, hot, monkeypatch):
     assert got[8].n_removed == 90
 
 
+def test_substring_blocks_hold_whole_anchors_when_joins_change_while_they_run(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 20)
+    rng = np.random.default_rng(8)
+    passages = [rng.choice(300, 60).astype(str).tolist() for _ in range(40)]
+    texts = [" ".join([f"a{i}", *passages[i % 40 if i < 120 else 0], f"b{i}"]) for i in range(150)]
+    set_to = {
+        "spark.sql.autoBroadcastJoinThreshold": "1",  # planned as sort-merge joins, which turn into broadcasts
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.openCostInBytes": "100m",
+    }
+    before = {k: spark.conf.get(k, None) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        got = substring.dedup_substrings(docs(spark, texts).repartition(8)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [(r.n_words, r.n_removed, r.text) for r in sorted(got)] == [(62, 60, f"a{i} b{i}") for i in range(150)]
+
+
 def test_factors_are_the_longest_matches():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 12, 60)
