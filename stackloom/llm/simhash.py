@@ -25,8 +25,10 @@ similarity ``t`` has, each of the least is in both with probability ``t``, so a
 shares no bucket with probability ``0.2 ** LEAST`` at most. In the buckets the SimHashes of the sets,
 64 bits for each table, are compared with a radius four standard deviations above the
 distance expected at ``t``. A cell proposes ``FORESTS`` forests without common links. Where some
-proved dissimilar, they may have stood for similar pairs: the texts of the components at their ends are
-compared once more, and each proposes the ``NEAREST`` texts of other, larger components.
+proved dissimilar, they may have stood for similar pairs: a pair that is left unlinked by that lies in two
+components with such ends. The texts of these components go to their buckets once more, now with their
+shingle sets, and every pair of different components is verified there unless it is linked already. A cell
+returns a forest of verified links, so no pair is dropped for another, and no cell returns more links than it has texts.
 """
 
 from __future__ import annotations
@@ -56,8 +58,10 @@ SLICE = 1 << 15
 SALT = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of a text where a similarity is asked for, and the forests that a cell then proposes.
 LEAST, FORESTS = 12, 3
-#: Texts of other components that a text proposes in a cell where forests have failed.
-NEAREST = 16
+#: Shingle hashes of a block of texts whose sets are compared, and that a task holds while it does.
+SETS, HELD = 1 << 20, 1 << 22
+#: Bits of the parity of a shingle set.
+PARITY = 512
 #: One text in so many is counted to find the buckets over ``CELL``.
 COUNTED = 16
 
@@ -170,16 +174,14 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.nda
     return np.array(kept, dtype=np.int64)
 
 
-def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int, forests: int = 1, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The links of spanning forests of all pairs of a group within the radius, nearest first.
 
     Groups lie one after another; ``last`` is, for each row, the end of its group
     (excluded). A fingerprint is one word, or a row of several. Further forests
-    are of the links that are left. With ``label``, instead of forests, each row's
-    ``NEAREST`` links to rows of another label that is not rarer. The two arrays hold rows, the smaller one first.
+    are of the links that are left. The two arrays hold rows, the smaller one first.
     """
     fps = fps.reshape(len(fps), -1)
-    thin = (lambda a, b: _spanning(fps, a, b, forests)) if label is None else (lambda a, b: _nearest(fps, a, b, label))
     n = len(fps)
     words = (n + 63) >> 6
     lanes = np.zeros((words << 6, fps.shape[1]), dtype=np.uint64)
@@ -201,8 +203,8 @@ def near_in_groups(fps: np.ndarray, last: np.ndarray, radius: int, forests: int
         low = np.clip(query + 1 - (word << 6), 0, 63).astype(np.uint64)
         high = np.clip(last[query] - (word << 6), 1, 64).astype(np.uint64)
         alive = (np.uint64(0xFFFFFFFFFFFFFFFF) << low) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - high))
-        kept.append(thin(*_within(planes, fps, query, word, alive, radius)))
-    return thin(*np.concatenate(kept, axis=1))
+        kept.append(_spanning(fps, *_within(planes, fps, query, word, alive, radius), forests))
+    return _spanning(fps, *np.concatenate(kept, axis=1), forests)
 
 
 def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forests: int) -> np.ndarray:
@@ -220,20 +222,6 @@ def _spanning(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forests: int) -> np
     return np.concatenate(out, axis=1)
 
 
-def _nearest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of the links between labels each is of its row of the rarer label, given first, and of these rows the ``NEAREST`` links stay."""
-    apart = label[a] != label[b]
-    a, b = a[apart], b[apart]
-    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-    _, of, count = np.unique(label, return_inverse=True, return_counts=True)
-    size, keep = count[of], np.zeros(len(a), dtype=bool)
-    ends = np.where((size[a] < size[b]) | ((size[a] == size[b]) & (label[a] > label[b])), a, b)
-    order = np.lexsort((distance, ends))
-    starts = np.searchsorted(ends[order], ends[order])
-    keep[order[np.arange(len(order)) - starts < NEAREST]] = True
-    return np.stack([ends[keep], (a + b - ends)[keep]])
-
-
 def _within(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The (row, lane) pairs of the items' live lanes that are within the radius."""
     value = fps[query]
@@ -275,9 +263,9 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def _compare(radius: int, words: int = 1, forests: int = 1, labelled: bool = False):
-    """Rows ``(bucket, cell, rep, word, …)`` in order of their cells to ``(src, dst)``; ``labelled`` ones have a label at the end."""
-    n = 3 + words + labelled
+def _compare(radius: int, words: int = 1, forests: int = 1):
+    """Rows ``(bucket, cell, rep, word, …)`` in order of their cells to ``(src, dst)``."""
+    n = 3 + words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -293,11 +281,7 @@ def _compare(radius: int, words: int = 1, forests: int = 1, labelled: bool = Fal
                 return None
             start = np.concatenate([[0], edge])
             size = np.diff(np.concatenate([start, [end]]))
-            a, b = near_in_groups(np.ascontiguousarray(rows[3 : 3 + words].T).view(np.uint64), np.repeat(start + size, size), radius, forests, rows[-1] if labelled else None)
-            if labelled:
-                distance = np.bitwise_count((rows[3 : 3 + words][:, a] ^ rows[3 : 3 + words][:, b]).view(np.uint64)).sum(axis=0, dtype=np.int64)
-                a, b = rows[2][a], rows[2][b]
-                return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(a), pa.array(distance)], ["src", "dst", "own", "distance"])
+            a, b = near_in_groups(np.ascontiguousarray(rows[3 : 3 + words].T).view(np.uint64), np.repeat(start + size, size), radius, forests)
             pairs = np.unique(np.sort(np.stack([rows[2][a], rows[2][b]]), axis=0), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[1].copy()), pa.array(pairs[0].copy())], ["src", "dst"])
 
@@ -312,14 +296,17 @@ def _compare(radius: int, words: int = 1, forests: int = 1, labelled: bool = Fal
 
 
 def _in_cells(keyed: DataFrame, hot: DataFrame, radius: int, forests: int = 1) -> DataFrame:
-    """``keyed(bucket, rep, word, …)``, at the end perhaps ``label``, to the links of its cells; ``hot(bucket, blocks)`` are the buckets over ``CELL``."""
+    """``keyed(bucket, rep, word, …)`` to the links of its cells; ``hot(bucket, blocks)`` are the buckets over ``CELL``."""
     columns = keyed.columns[2:]
-    labelled = columns[-1] == "label"
+    dealt = _dealt(keyed.join(hot, "bucket", "left"), *columns)
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, _compare(radius, len(columns), forests), "src long, dst long")
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows(bucket, rep, blocks, …)`` once for every cell of their bucket: one, or one for each pair of its blocks."""
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.expr("transform(sequence(0, blocks - 1), c -> least(c, block) * blocks + greatest(c, block))"))
-    dealt = keyed.join(hot, "bucket", "left").withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "rep", *columns)
-    run = _compare(radius, len(columns) - labelled, forests, labelled)
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, run, "src long, dst long" + ", own long, distance long" * labelled)
+    return rows.withColumn("block", block).select("bucket", F.explode(cells).alias("cell"), "rep", *columns)
 
 
 def links(groups: DataFrame, radius: int = 4) -> DataFrame:
@@ -336,20 +323,87 @@ def radius_at(similarity: float, bits: int) -> int:
 
 
 def proposals(sets: DataFrame, least: float, tables: int) -> DataFrame:
-    """``sets(rep, words, least)`` to pairs ``(src, dst)`` that share a bucket and are within the radius of the similarity.
-
-    With a column ``label``, pairs of different labels.
-    """
-    label = ["label"] if "label" in sets.columns else []
-    keyed = sets.select(F.explode("least").alias("bucket"), "rep", *[F.col("words")[k].alias(f"word{k}") for k in range(tables)], *label)
+    """``sets(rep, words, least)`` to pairs ``(src, dst)``: forests of those that share a bucket and are within the radius of the similarity."""
+    keyed = sets.select(F.explode("least").alias("bucket"), "rep", *[F.col("words")[k].alias(f"word{k}") for k in range(tables)])
     # a bucket over CELL has CELL / COUNTED of the counted texts, give or take; one missed or too many changes no result
     few = keyed.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(COUNTED)) == 0).groupBy("bucket").agg((F.count("*") * COUNTED).alias("count"))
     hot = stored(few.where(F.col("count") > CELL // 2).select("bucket", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("blocks")), "hot-buckets")
-    found = _in_cells(keyed, hot, radius_at(least, 64 * tables), FORESTS)
-    if label:  # a text proposes as many over all its cells, of which there are a bounded number, as in one
-        nearest = F.slice(F.array_sort(F.collect_set(F.struct("distance", "src", "dst"))), 1, NEAREST)
-        found = found.groupBy("own").agg(nearest.alias("p")).select(F.inline("p")).select("src", "dst")
-    return found.distinct()
+    return _in_cells(keyed, hot, radius_at(least, 64 * tables), FORESTS).distinct()
+
+
+def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, lying one after another, which of ``PARITY`` bits an odd number of its hashes have: two sets differ in at least as many items as bits."""
+    bit = (mix64(flat.view(np.uint64)) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * PARITY + bit, minlength=len(sizes) * PARITY).reshape(len(sizes), PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+
+
+def similar_in_cell(label: np.ndarray, flat: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A forest that joins what links of similarity ``least`` between sets join, those of one label being joined already."""
+    root, links_ = np.unique(label, return_inverse=True)[1], []
+    parity, end = parities(flat, sizes), np.cumsum(sizes)
+    for i in range(len(sizes) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        far = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64)
+        close = far <= (sizes[j] + sizes[i]) * ((1 - least) / (1 + least)) + 1e-6
+        j = j[close][np.argsort(far[close], kind="stable")]
+        mine = flat[end[i] - sizes[i] : end[i]]
+        for k in j.tolist():
+            if root[k] == root[i]:
+                continue
+            shared = len(np.intersect1d(mine, flat[end[k] - sizes[k] : end[k]], assume_unique=True))
+            if shared >= least * (sizes[i] + sizes[k] - shared) - 1e-9:
+                links_.append((i, k))
+                root[root == root[k]] = root[i]
+    return links_
+
+
+def _link_cells(least: float):
+    """Rows ``(bucket, cell, rep, label, has)`` in order of their cells to the verified links ``(src, dst)``."""
+
+    def linked(part: pa.Table) -> pa.RecordBatch:
+        bucket, cell, rep, label = (part.column(k).to_numpy() for k in range(4))
+        has = part.column(4).combine_chunks()
+        flat, sizes = has.flatten().to_numpy(), has.value_lengths().to_numpy().astype(np.int64)
+        end = np.cumsum(sizes)
+        edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(cell) != 0)) + 1
+        out = []
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(rep)], strict=True):
+            if (label[a:b] != label[a]).any():
+                out += [(rep[a + i], rep[a + k]) for i, k in similar_in_cell(label[a:b], flat[end[a] - sizes[a] : end[b - 1]], sizes[a:b], least)]
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(4).flatten())
+            if n < HELD:
+                continue
+            part = pa.Table.from_batches(held)
+            bucket, cell = (part.column(k).to_numpy() for k in (0, 1))
+            edge = np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))
+            if len(edge):
+                yield linked(part.slice(0, edge[-1] + 1))
+                held = part.slice(edge[-1] + 1).to_batches()
+                n = sum(len(b.column(4).flatten()) for b in held)
+        if held:
+            yield linked(pa.Table.from_batches(held))
+
+    return run
+
+
+def completed(again: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified links ``(src, dst)`` that join the labels of ``again(rep, least, label)`` whose texts share a bucket and are similar; ``sets(doc_id, has)``."""
+    has = sets.select(F.col("doc_id").alias("rep"), "has")
+    keyed = stored(again.join(has.select("rep", F.size("has").alias("n")), "rep").select(F.explode("least").alias("bucket"), "rep", "label", "n"), "again")
+    mixed = keyed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("rows"), F.sum("n").alias("items")).where("a <> b")
+    blocks = F.ceil(F.greatest(F.col("rows") / CELL, F.col("items") / SETS)).cast("int")
+    buckets = stored(mixed.select("bucket", F.when(blocks > 1, blocks).alias("blocks")), "mixed-buckets")
+    dealt = _dealt(keyed.join(buckets, "bucket"), "label").join(has, "rep").select("bucket", "cell", "rep", "label", "has")
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "rep").transform(map_arrow, _link_cells(least), "src long, dst long")
 
 
 def _shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -384,11 +438,10 @@ def _similar_components(sets: DataFrame, more: DataFrame, docs: DataFrame, shing
     bad = stored(near.join(good, ["src", "dst"], "left_anti"), "rejected")
     ends = bad.select(F.col("src").alias("node")).unionByName(bad.select(F.col("dst").alias("node"))).distinct()
     failed = ends.join(found, "node", "left").select(F.coalesce("component", "node").alias("label")).distinct()
-    placed = sets.join(found, sets.rep == found.node, "left").select("rep", "words", "least", F.coalesce("component", "rep").alias("label"))
-    again = stored(placed.join(stored(failed, "failed"), "label", "left_semi").select("rep", "words", "least", "label"), "again")
-    apart = stored(proposals(again, least, tables).join(bad, ["src", "dst"], "left_anti"), "apart")
-    good = _verified(apart, has, least)
-    release(near, has, again)
+    placed = sets.join(found, sets.rep == found.node, "left").select("rep", "least", F.coalesce("component", "rep").alias("label"))
+    again = placed.join(stored(failed, "failed"), "label", "left_semi").select("rep", "least", "label")
+    good = stored(completed(again, has, least).distinct(), "completed")
+    release(near, has)
     if good.isEmpty():
         return found
     return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(good))

@@ -138,6 +138,43 @@ def test_every_pair_at_the_least_similarity_is_found(spark):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(similar_groups(made)))
 
 
+def test_similar_pairs_among_many_nearly_similar_ones_are_all_found(spark):
+    rng = np.random.default_rng(12)
+    base, made = [f"w{j}" for j in range(600)], []
+    for k in range(150):  # twins have two of eight edits in common and a similarity of about 0.82, most others of 0.76
+        at = rng.choice(600, 14, replace=False)
+        for own in (at[:8], at[6:]):
+            words = list(base)
+            for j in own:
+                words[j] = f"e{k}x{j}"
+            made.append(" ".join(words))
+    found = simhash.near_duplicates(docs(spark, made), shingle=5, min_similarity=0.8, tables=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(similar_groups(made)))
+
+
+def test_cells_return_forests_of_all_links():
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.choice(60, int(rng.integers(20, 50)))) for _ in range(200)]
+    label = rng.integers(0, 150, 200)
+    sizes = np.array([len(x) for x in sets])
+    got = simhash.similar_in_cell(label, np.concatenate(sets), sizes, 0.6)
+    comp = components_of(200, [(a, b) for a in range(200) for b in range(a) if label[a] == label[b] or len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])) - 1e-9])
+    same = [(a, b) for a in range(200) for b in range(a) if label[a] == label[b]]
+    assert components_of(200, same + got) == comp and 0 < len(got) < 200
+    for a, b in got:
+        assert len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])) - 1e-9
+    parity = simhash.parities(np.concatenate(sets), sizes)
+    assert all(np.bitwise_count(parity[a] ^ parity[b]).sum() <= len(np.setxor1d(sets[a], sets[b])) for a in range(200) for b in range(a))
+
+
+def components_of(n, links):
+    comp = list(range(n))
+    for a, b in links:
+        x, y = comp[a], comp[b]
+        comp = [min(x, y) if c in (x, y) else c for c in comp]
+    return comp
+
+
 def test_the_radius_and_the_buckets_hold_similar_sets(spark):
     rng = np.random.default_rng(8)
     made = []
