@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import series_key
+from ..functions.storage import cut
 from .tables import order_samples
 
 
@@ -46,7 +47,8 @@ def from_samples(samples: DataFrame, partitions: int = 16) -> Tables:
     rows = samples.where(F.size("frames") > 0).withColumns({"partition": part, "stack_id": F.xxhash64("frames"), "series_key": series_key(F.col("labels"))})
     entry = F.struct("stack_id", "value", "span_id", "trace_id")
     profiles = rows.groupBy("profile_id", "series_key", "ts_ms", "partition").agg(F.first("labels").alias("labels"), F.collect_list(entry).alias("samples"))
-    stacks = rows.groupBy("partition", "stack_id").agg(F.first("frames").alias("frames"))
+    # three tables are made of the stacks: the samples are read once for the profiles and once for these
+    stacks = cut(rows.groupBy("partition", "stack_id").agg(F.first("frames").alias("frames")))
     ids = F.transform(F.reverse("frames"), lambda f: F.xxhash64(f))
     names = stacks.select("partition", F.explode("frames").alias("name")).distinct().withColumn("function_id", F.xxhash64("name"))
     line = F.array(F.struct("function_id", F.lit(0).alias("line")))
