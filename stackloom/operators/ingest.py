@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.selector import usage_group
+from ..functions.storage import cut, small
 
 SAMPLED = "__sampled__"
 SESSION = "__session_id__"
@@ -33,8 +34,12 @@ def with_ids(rows: DataFrame, ids: list[str], col: str = "profile_id") -> DataFr
 
 
 def in_series(rows: DataFrame, series: DataFrame, key: str = "series_key") -> DataFrame:
-    """Profiles of the series whose keys are listed."""
-    return rows.join(series.select(key), key, "left_semi")
+    """Profiles of the series whose keys are listed.
+
+    Few keys are broadcast: a shuffle by key would bring all profiles of a series to one task.
+    """
+    keys = cut(series.select(key).distinct())
+    return rows.join(small(keys, keys.count()), key, "left_semi")
 
 
 def has_pairs(labels: Column, pairs: dict[str, str]) -> Column:

@@ -178,3 +178,19 @@ def test_deltas_of_the_table_against_brute_force(spark):
 def test_heatmap_of_nothing(spark):
     none = spark.createDataFrame([], "k string, ts_ms long, total long, profile_id string")
     assert series.heatmap_slots(none, ["k"], 0, 10, 5).count() == 0
+
+
+def test_listed_series_are_broadcast_and_stacks_computed_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "series_key string, v int")
+        hit = ingest.in_series(rows, rows.where("v <> 3"))
+        plan = hit._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.v for r in hit.collect()) == [1, 2]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tables = canonical.from_orders(spark, DATA)
+    for table in tables[1:]:
+        assert "lineitem" not in table._jdf.queryExecution().optimizedPlan().toString() and "parquet" not in table._jdf.queryExecution().executedPlan().toString()
