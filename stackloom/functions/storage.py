@@ -17,6 +17,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+#: Rows that a task is dealt where it sorts or collects them all.
+TASK_ROWS = 250_000
+
+
+def deal(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by ``key`` over so many tasks that each gets about ``rows``, however few shuffle partitions are set.
+
+    Joins and groups by ``key`` keep the deal. ``df`` is counted, so it should be cheap to read.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the folder in ``spark.checkpoint.dir``, which all executors share.
 

@@ -48,7 +48,9 @@ def from_samples(samples: DataFrame, partitions: int = 16) -> Tables:
     entry = F.struct("stack_id", "value", "span_id", "trace_id")
     profiles = rows.groupBy("profile_id", "series_key", "ts_ms", "partition").agg(F.first("labels").alias("labels"), F.collect_list(entry).alias("samples"))
     # three tables are made of the stacks: the samples are read once for the profiles and once for these
-    stacks = cut(rows.groupBy("partition", "stack_id").agg(F.first("frames").alias("frames")))
+    # stacks are keys first: an array picked per id would have every task sort all of its samples; of two stacks with one id the more frequent stays
+    each = rows.groupBy("partition", "stack_id", "frames").agg(F.count("*").alias("n"))
+    stacks = cut(each.groupBy("partition", "stack_id").agg(F.max_by("frames", "n").alias("frames")))
     ids = F.transform(F.reverse("frames"), lambda f: F.xxhash64(f))
     names = stacks.select("partition", F.explode("frames").alias("name")).distinct().withColumn("function_id", F.xxhash64("name"))
     line = F.array(F.struct("function_id", F.lit(0).alias("line")))
@@ -62,7 +64,7 @@ def from_samples(samples: DataFrame, partitions: int = 16) -> Tables:
 
 def from_orders(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables of the star schema's profiles, an order each, labelled with its status; every third line item has a span."""
-    s = order_samples(spark, sf_dir)
+    s = order_samples(spark, sf_dir, dealt=True)
     span = F.when(F.col("value") % 3 == 0, F.lpad(F.lower(F.hex(F.col("value"))), 16, "0"))
     trace = F.when(F.col("value") % 5 == 0, F.lpad(F.lower(F.hex(F.col("value"))), 32, "0"))
     labels = F.when(F.col("status") == "P", F.create_map(F.lit("service_name"), F.lit("pending"))).otherwise(F.create_map(F.lit("service_name"), F.lit("orders"), F.lit("status"), F.col("status")))

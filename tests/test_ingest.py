@@ -2,12 +2,13 @@
 
 import collections
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import labels as L
-from stackloom.functions import selector, units
+from stackloom.functions import selector, storage, units
 from stackloom.operators import ingest, series, tree
 from stackloom.sources import canonical, pprof
 
@@ -194,3 +195,21 @@ def test_listed_series_are_broadcast_and_stacks_computed_once(spark):
     tables = canonical.from_orders(spark, DATA)
     for table in tables[1:]:
         assert "lineitem" not in table._jdf.queryExecution().optimizedPlan().toString() and "parquet" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tables_deal_samples_by_their_count(spark, monkeypatch):
+    parts = storage.deal(spark.range(1000).withColumn("v", F.lit(1)), "id", 100).groupBy("id").agg(F.collect_list("v")).rdd.glom().map(len).collect()
+    assert len(parts) == 10 and sum(parts) == 1000 and max(parts) < 200
+    seen = []
+    monkeypatch.setattr(canonical, "cut", lambda df: seen.append(df) or storage.cut(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tables = canonical.from_orders(spark, DATA)
+        assert tables.profiles.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+        orders = spark.read.parquet(f"{DATA}/lineitem.parquet").agg(F.countDistinct("l_orderkey"), F.count("*")).first()
+        assert tables.profiles.agg(F.count("*"), F.sum(F.size("samples"))).first() == orders
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    kind, keys = re.findall(r"(\w+Aggregate)\(keys?=\[([^\]]*)\]", seen[0]._jdf.queryExecution().sparkPlan().toString())[-1]
+    assert kind == "HashAggregate" and "frames" in keys
