@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from stackloom.functions import labels as L
 from stackloom.functions import selector, storage, units
 from stackloom.operators import ingest, series, tree
+from stackloom.plans import stored
 from stackloom.sources import canonical, pprof
+from stackloom.sources.tables import order_samples
 
 DATA = "/root/testdata/sf0.001"
 
@@ -213,3 +215,18 @@ def test_stored_tables_deal_samples_by_their_count(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     kind, keys = re.findall(r"(\w+Aggregate)\(keys?=\[([^\]]*)\]", seen[0]._jdf.queryExecution().sparkPlan().toString())[-1]
     assert kind == "HashAggregate" and "frames" in keys
+
+
+def test_traces_read_profiles_that_several_tasks_wrote(spark, monkeypatch):
+    made, plain = [], stored._tables
+    monkeypatch.setattr(stored, "_tables", lambda *a: made.append(plain(*a)) or made[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = stored.tree_traces(spark, DATA)
+        files = made[0].profiles.inputFiles()
+        assert len(files) == spark.sparkContext.defaultParallelism > 1
+        hit = order_samples(spark, DATA).where("value in (10, 25)")  # the two traces
+        assert found.agg(F.sum("self")).first() == hit.agg(F.sum("value")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
