@@ -26,8 +26,24 @@ def deal(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
 
     Joins and groups by ``key`` keep the deal. ``df`` is counted, so it should be cheap to read.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(tasks, key)
+    return df.repartition(_tasks(df, rows), key)
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def deal_join(df: DataFrame, other: DataFrame, key: str, by: str, rows: int = TASK_ROWS) -> DataFrame:
+    """The inner join by ``key``, ``df`` dealt as in :func:`deal`, for an ``other`` of few rows per key.
+
+    A key with more than ``rows`` rows of ``df`` is dealt over several tasks by the hash of ``by``, a column that tells
+    its rows apart, and its rows of ``other`` go to each of them. ``df`` is read twice before.
+    """
+    hot = cut(df.groupBy(key).agg(F.ceil(F.count("*") / rows).alias("_parts")).where("_parts > 1"))
+    hot, parts = small(hot, hot.count()), F.coalesce("_parts", F.lit(1))
+    left = df.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    right = other.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.repartition(_tasks(df, rows), key, "_part").hint("merge").join(right, [key, "_part"]).drop("_part")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import deal
+from ..functions.storage import deal, deal_join
 
 USERS = 7
 
@@ -28,12 +28,15 @@ def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_samples(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """``(profile_id, ts_ms, status, frames, value)``: one profile per order, one sample per line item, root first.
 
-    ``dealt``: by profile, over tasks of bounded rows, for what collects whole profiles.
+    ``dealt``: over tasks of bounded rows, orders by customer and then lines by profile, for what collects whole profiles.
     """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     buyer = t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name", "n_name", "c_mktsegment")
-    order = t("orders").join(buyer, F.col("o_custkey") == F.col("c_custkey"))
+    if dealt:
+        order = deal_join(t("orders"), buyer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "o_orderkey")
+    else:
+        order = t("orders").join(buyer, F.col("o_custkey") == F.col("c_custkey"))
     line = t("lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
     # merged, not broadcast: the join keeps the deal
     rows = (deal(line, "l_orderkey").hint("merge") if dealt else line).join(order, F.col("l_orderkey") == F.col("o_orderkey"))

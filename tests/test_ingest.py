@@ -11,7 +11,7 @@ from stackloom.functions import labels as L
 from stackloom.functions import selector, storage, units
 from stackloom.operators import ingest, series, tree
 from stackloom.plans import stored
-from stackloom.sources import canonical, pprof
+from stackloom.sources import canonical, pprof, tables
 from stackloom.sources.tables import order_samples
 
 DATA = "/root/testdata/sf0.001"
@@ -230,3 +230,26 @@ def test_traces_read_profiles_that_several_tasks_wrote(spark, monkeypatch):
         assert found.agg(F.sum("self")).first() == hit.agg(F.sum("value")).first()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_orders_meet_customers_in_tasks_of_bounded_rows(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        # one key has nearly all rows, one has no partner, one is null
+        left = spark.range(2000).select(F.when(F.col("id") < 1800, 7).when(F.col("id") < 1990, F.col("id")).cast("long").alias("k"), "id")
+        right = spark.range(1990).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).where("k != 1801")
+        found = storage.deal_join(left, right, "k", "id", 100)
+        assert found.columns == ["k", "id", "name"]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "name").collect()))
+        each = found.rdd.glom().map(len).collect()
+        assert len(each) == 20 and sum(each) == 1989 and max(each) < 600
+        # with the joins of the stored tables
+        seen, plain = [], tables.deal_join
+        monkeypatch.setattr(tables, "deal_join", lambda *a: seen.append(plain(*a, rows=100)) or seen[-1])
+        rows = tables.order_samples(spark, DATA, dealt=True)
+        tasks = -(-spark.read.parquet(f"{DATA}/orders.parquet").count() // 100)
+        assert seen[0].rdd.getNumPartitions() == tasks > 1
+        assert sorted(map(str, rows.collect())) == sorted(map(str, tables.order_samples(spark, DATA).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
